@@ -5,21 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillstack.llm import bagminhash, decontam, lines, mixing, quality
+from quillstack.llm import bagminhash, bitslice, decontam, htmlx, lines, lm, mixing, pii, quality, substr
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_t(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(_t(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlx.extract(_t(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.nearest(_t(spark, sf_dir, "embeddings"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.dedup(_t(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removals(_t(spark, sf_dir, "documents"))
 
@@ -32,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_quality, op8_line_dedup, op9_bagminhash, op10_mixing)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op10_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_pii_surrogates, op4_html_extraction, op5_quality, op6_exact_topk, op7_substring_dedup, op8_line_dedup, op9_bagminhash, op10_mixing)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op6_exact_topk": bitslice.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
