@@ -175,27 +175,40 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     return label
 
 
+#: Rows of a bucket that are compared pair by pair; larger buckets are searched breadth first.
+PAIRED_ROWS = 33
+
+
 def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     """For mapInArrow over rows (key, id, sketch) sorted by key: star edges of the
-    components, within each bucket, of the rows whose sketches are linked."""
+    components, within a bucket or several, of the rows whose sketches are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key"]):
             key, ids, sketch = (table.column(c).to_numpy() for c in ("key", "id", "sketch"))
             at = run_starts(key)
             size = np.diff(at)
-            two = at[:-1][size == 2]
-            ok = linked(sketch[two], sketch[two + 1])
-            a, b = [ids[two][ok]], [ids[two + 1][ok]]
-            for s, k in zip(at[:-1][size > 2], size[size > 2], strict=True):
+            left = np.repeat(at[1:], size) - np.arange(len(key)) - 1  # rows of the bucket after each
+            left[np.repeat(size > PAIRED_ROWS, size)] = 0
+            a, b = [], []
+            for step in range(1, PAIRED_ROWS):
+                i = np.flatnonzero(left >= step)
+                if not len(i):
+                    break
+                i = i[linked(sketch[i], sketch[i + step])]
+                a.append(ids[i])
+                b.append(ids[i + step])
+            for s, k in zip(at[:-1][size > PAIRED_ROWS], size[size > PAIRED_ROWS], strict=True):
                 i, x = ids[s : s + k], sketch[s : s + k]
                 lab = spread(k, lambda p, o, x=x: linked(x[p], x[o]))
                 a.append(i[lab])
                 b.append(i)
+            if not a:
+                continue
             a, b = np.concatenate(a), np.concatenate(b)
-            edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
+            a, b = contract(a[a != b], b[a != b])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
     return run
 
