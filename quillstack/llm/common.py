@@ -58,7 +58,7 @@ def arrow_array(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def int_column(batch: pa.RecordBatch, name: str, null: int = np.iinfo(np.int64).min) -> np.ndarray:
-    return arrow_array(batch, name).fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
+    return arrow_array(batch, name).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -179,13 +179,15 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
 PAIRED_ROWS = 33
 
 
-def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """For mapInArrow over rows (key, id, sketch) sorted by key: star edges of the
-    components, within a bucket or several, of the rows whose sketches are linked."""
+def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: tuple[str, ...] = ("sketch",)):
+    """For mapInArrow over rows (key, id, sketches) sorted by key: star edges of the
+    components, within a bucket or several, of the rows whose sketches are linked.
+    linked compares arrays whose last axis is the sketch columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key"]):
-            key, ids, sketch = (table.column(c).to_numpy() for c in ("key", "id", "sketch"))
+            key, ids = (table.column(c).to_numpy() for c in ("key", "id"))
+            sketch = np.stack([table.column(c).to_numpy() for c in sketches], 1)
             at = run_starts(key)
             size = np.diff(at)
             left = np.repeat(at[1:], size) - np.arange(len(key)) - 1  # rows of the bucket after each
@@ -218,6 +220,19 @@ def collected(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> pa
     return None if df.count() * row_bytes > limit else df.toArrow()
 
 
+def matching(sorted_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each id, the places of it in sorted_ids: (index of the id, place), flat."""
+    lo, hi = np.searchsorted(sorted_ids, ids), np.searchsorted(sorted_ids, ids, "right")
+    size = hi - lo
+    return np.repeat(np.arange(len(ids)), size), np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+
+
+def list_rows(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Index of the row of each element of a list column, and the elements; null lists have none."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), size), column.flatten()
+
+
 def keep_masked(docs: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """Rows of docs where mask is true, all columns as they were."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import arrow_array, grouped, int_column, prepare, run_starts, written
+from quillstack.llm.common import BROADCAST_BYTES, arrow_array, collected, grouped, int_column, list_rows, matching, prepare, run_starts, written
 
 MIN_WORDS, GRAM = 50, 25
 
@@ -77,19 +77,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own[several]), pa.array(doc[several]), pa.array(pos[several])], names=["shard", "doc_id", "pos"])
 
 
-def _stretches(min_words: int, gram: int):
-    """For mapInArrow over (doc_id, text, marks): (shard, doc_id, start, words) of the text around the marks."""
+def _stretches(min_words: int, gram: int, marks_of):
+    """For mapInArrow over documents: (shard, doc_id, start, words) of the text around the marks;
+    marks_of(part) gives (row of part, shard, pos)."""
     reach = min_words - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text"):
+                doc, shard, pos = marks_of(part)
+                if not len(doc):
+                    continue
                 w = tv.words(arrow_array(part, "text"))
-                marks = arrow_array(part, "marks")
-                size = marks.value_lengths().to_numpy()
-                flat = marks.flatten()
-                shard, pos = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
-                doc = np.repeat(np.arange(part.num_rows), size)
                 count = np.diff(w.first)[doc]
                 ok = pos + gram <= count  # another row of the same id may be shorter
                 shard, pos, doc, count = shard[ok], pos[ok], doc[ok], count[ok]
@@ -98,7 +97,7 @@ def _stretches(min_words: int, gram: int):
                 order = np.lexsort((pos, shard, doc))
                 shard, pos, doc, count = shard[order], pos[order], doc[order], count[order]
                 low, high = np.maximum(pos - reach, 0), np.minimum(pos + gram + reach, count)
-                # each picked place's region reaches as far as any before it in the same group
+                # regions that meet are one stretch
                 new = np.ones(len(pos), bool)
                 new[1:] = (shard[1:] != shard[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] > high[:-1])
                 first = np.flatnonzero(new)
@@ -223,53 +222,98 @@ def _matched(min_words: int):
     return run
 
 
-def spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, start, end): word spans that an earlier document holds, possibly overlapping."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     prints = docs.mapInArrow(_fingerprints(min_words, gram), "f bigint, doc_id bigint, pos int")
-    shared = prints.repartition("f").sortWithinPartitions("f", "doc_id").mapInArrow(_shared, "shard bigint, doc_id bigint, pos int")
-    marks = shared.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "pos")).alias("marks")).withColumnRenamed("doc_id", "__id")
-    pieces = docs.join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "marks").mapInArrow(_stretches(min_words, gram), "shard bigint, doc_id bigint, start int, words binary")
+    shared = written(prints.repartition("f").sortWithinPartitions("f", "doc_id").mapInArrow(_shared, "shard bigint, doc_id bigint, pos int"))
+    schema = "shard bigint, doc_id bigint, start int, words binary"
+    rows = collected(shared, 20, limit)
+    if rows is not None:  # few marks: the texts stay where they are
+        ids, shard, pos = (rows.column(c).to_numpy() for c in ("doc_id", "shard", "pos"))
+        order = np.argsort(ids, kind="stable")
+        sent = docs.sparkSession.sparkContext.broadcast((ids[order], shard[order], pos[order]))
+
+        def from_broadcast(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            all_ids, all_shards, all_pos = sent.value
+            row, at = matching(all_ids, int_column(part, "doc_id"))
+            return row, all_shards[at], all_pos[at].astype(np.int64)
+
+        pieces = docs.mapInArrow(_stretches(min_words, gram, from_broadcast), schema)
+    else:
+        marks = shared.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "pos")).alias("marks")).withColumnRenamed("doc_id", "__id")
+
+        def from_column(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            row, flat = list_rows(arrow_array(part, "marks"))
+            return row, flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+
+        pieces = docs.join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "marks").mapInArrow(_stretches(min_words, gram, from_column), schema)
     return pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(_matched(min_words), "doc_id bigint, start int, end int")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text, n_removed): every row's text without its repeated spans, and how many words went."""
-    found = written(spans(docs, min_words, gram))
-    cut = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut")).withColumnRenamed("doc_id", "__id")
-    joined = docs.select("doc_id", "text").join(cut, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "cut")
-    return joined.mapInArrow(_removed, "doc_id bigint, text string, n_removed int")
-
-
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cut = arrow_array(batch, "cut")
-        text = arrow_array(batch, "text")
-        rows = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False) & text.is_valid().to_numpy(zero_copy_only=False))
-        gone = np.zeros(batch.num_rows, np.int32)
-        new = []
-        for i in rows:
-            raw, _, start, end = tv.original_bounds(text.slice(i, 1))
-            value = cut[int(i)].values
-            lo, hi = (np.minimum(value.field(k).to_numpy(), len(start)) for k in range(2))
-            edge = np.zeros(len(start) + 1, np.int64)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi, -1)
-            drop = np.cumsum(edge[:-1]) > 0
-            gone[i] = drop.sum()
-            at = run_starts(drop)
-            pieces, last = [], 0
+    found = written(spans(docs, min_words, gram, limit))
+    docs, schema = docs.select("doc_id", "text"), "doc_id bigint, text string, n_removed int"
+    rows = collected(found, 16, limit)
+    if rows is not None:
+        ids, start, end = (rows.column(c).to_numpy() for c in ("doc_id", "start", "end"))
+        order = np.argsort(ids, kind="stable")
+        sent = docs.sparkSession.sparkContext.broadcast((ids[order], start[order], end[order]))
+
+        def from_broadcast(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            all_ids, all_starts, all_ends = sent.value
+            row, at = matching(all_ids, int_column(batch, "doc_id"))
+            return row, all_starts[at], all_ends[at]
+
+        return docs.mapInArrow(_removed(from_broadcast), schema)
+    cut = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cut")).withColumnRenamed("doc_id", "__id")
+
+    def from_column(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, flat = list_rows(arrow_array(batch, "cut"))
+        return row, flat.field(0).to_numpy(), flat.field(1).to_numpy()
+
+    return docs.join(cut, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "cut").mapInArrow(_removed(from_column), schema)
+
+
+def _removed(spans_of):
+    """For mapInArrow over documents: (doc_id, text, n_removed); spans_of(batch) gives (row, start, end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = arrow_array(batch, "text")
+            row, lo, hi = spans_of(batch)
+            gone = np.zeros(batch.num_rows, np.int32)
+            new: dict[int, str] = {}
+            at = run_starts(row)
             for s, e in zip(at[:-1], at[1:], strict=True):
-                if drop[s]:
-                    pieces.append(raw[last : start[s]].tobytes())
-                    last = end[e - 1]
-            pieces.append(raw[last:].tobytes() if gone[i] < len(start) else b"")
-            if gone[i] == len(start) and len(start):
-                pieces = []
-            new.append(b"".join(pieces).decode())
-        if len(rows):
-            mask = np.zeros(batch.num_rows, bool)
-            mask[rows] = True
-            text = pa.compute.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
-        yield pa.RecordBatch.from_arrays([arrow_array(batch, "doc_id").cast(pa.int64()), text, pa.array(gone)], names=["doc_id", "text", "n_removed"])
+                i = int(row[s])
+                if not text[i].is_valid:
+                    continue
+                new[i], gone[i] = without_words(text.slice(i, 1), lo[s:e], hi[s:e])
+            if new:
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(new)] = True
+                text = pa.compute.replace_with_mask(text, pa.array(mask), pa.array([new[i] for i in sorted(new)], text.type))
+            yield pa.RecordBatch.from_arrays([arrow_array(batch, "doc_id").cast(pa.int64()), text, pa.array(gone)], names=["doc_id", "text", "n_removed"])
+
+    return run
+
+
+def without_words(text: pa.Array, lo: np.ndarray, hi: np.ndarray) -> tuple[str, int]:
+    """A text without its words in the spans [lo, hi), and the number of these words."""
+    raw, _, start, end = tv.original_bounds(text)
+    edge = np.zeros(len(start) + 1, np.int64)
+    np.add.at(edge, np.minimum(lo, len(start)), 1)
+    np.add.at(edge, np.minimum(hi, len(start)), -1)
+    drop = np.cumsum(edge[:-1]) > 0
+    if not len(drop) or drop.all():
+        return "" if len(drop) else raw.tobytes().decode(), len(drop)
+    pieces, last = [], 0
+    at = run_starts(drop)
+    for s, e in zip(at[:-1], at[1:], strict=True):
+        if drop[s]:
+            pieces.append(raw[last : start[s]].tobytes())
+            last = end[e - 1]
+    return b"".join([*pieces, raw[last:].tobytes()]).decode(), int(drop.sum())
