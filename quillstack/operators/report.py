@@ -13,10 +13,9 @@ def measured(spans: DataFrame) -> DataFrame:
     return spans.withColumn("chars", js.utf16_length(F.col("text")))
 
 
-def percentile(sorted_lengths: Column, p: int) -> Column:
-    """Nearest rank; 0 for none."""
-    rank = F.greatest(F.lit(1), F.ceil(F.lit(p / 100) * F.size(sorted_lengths))).cast("int")
-    return F.coalesce(F.try_element_at(sorted_lengths, rank), F.lit(0)).cast("bigint")
+def percentile(p: int) -> Column:
+    """Nearest rank over chars; keeps counts of distinct lengths, not the lengths."""
+    return F.expr(f"CAST(percentile_disc({p / 100}) WITHIN GROUP (ORDER BY chars) AS BIGINT)")
 
 
 def statistics(spans: DataFrame) -> DataFrame:
@@ -31,9 +30,9 @@ def statistics(spans: DataFrame) -> DataFrame:
         F.max_by(ref, most).alias("longest"),
         F.count_if(F.col("chars") < SHORT).alias("short_spans"),
         F.count_if(F.col("chars") > LONG).alias("long_spans"),
-        F.sort_array(F.collect_list("chars")).alias("lengths"),
+        *[percentile(p).alias(f"p{p}") for p in (10, 50, 90)],
     )
-    return out.withColumn("avg_chars", js.round2(F.col("total_chars") / F.col("span_count"))).withColumns({f"p{p}": percentile(F.col("lengths"), p) for p in (10, 50, 90)}).drop("lengths")
+    return out.withColumn("avg_chars", js.round2(F.col("total_chars") / F.col("span_count")))
 
 
 def duplicate_texts(spans: DataFrame) -> DataFrame:
