@@ -77,36 +77,41 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own[several]), pa.array(doc[several]), pa.array(pos[several])], names=["shard", "doc_id", "pos"])
 
 
-def _stretches(min_words: int, gram: int, marks_of):
-    """For mapInArrow over documents: (shard, doc_id, start, words) of the text around the marks;
-    marks_of(part) gives (row of part, shard, pos)."""
+def _regions(min_words: int, gram: int):
+    """For mapInArrow over (shard, doc_id, pos) sorted by doc_id, shard, pos: (doc_id, shard, low, high),
+    the word ranges around the places, those that meet as one."""
     reach = min_words - gram
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["doc_id"]):
+            doc, shard, pos = (table.column(c).to_numpy() for c in ("doc_id", "shard", "pos"))
+            low, high = np.maximum(pos - reach, 0), pos + gram + reach
+            new = np.ones(len(pos), bool)
+            new[1:] = (shard[1:] != shard[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] > high[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(pos)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(shard[first]), pa.array(low[first].astype(np.int32)), pa.array(high[last].astype(np.int32))], names=["doc_id", "shard", "low", "high"])
+
+    return run
+
+
+def _stretches(min_words: int, regions_of):
+    """For mapInArrow over documents: (shard, doc_id, start, words) of the text in the regions;
+    regions_of(part) gives (row of part, shard, low, high)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text"):
-                doc, shard, pos = marks_of(part)
+                doc, shard, low, high = regions_of(part)
                 if not len(doc):
                     continue
                 w = tv.words(arrow_array(part, "text"))
-                count = np.diff(w.first)[doc]
-                ok = pos + gram <= count  # another row of the same id may be shorter
-                shard, pos, doc, count = shard[ok], pos[ok], doc[ok], count[ok]
-                if not len(pos):
-                    continue
-                order = np.lexsort((pos, shard, doc))
-                shard, pos, doc, count = shard[order], pos[order], doc[order], count[order]
-                low, high = np.maximum(pos - reach, 0), np.minimum(pos + gram + reach, count)
-                # regions that meet are one stretch
-                new = np.ones(len(pos), bool)
-                new[1:] = (shard[1:] != shard[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] > high[:-1])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(pos)) - 1
-                start, end, own = low[first], high[last], doc[first]
+                high = np.minimum(high, np.diff(w.first)[doc])
+                ok = high - low >= min_words  # another row of the same id may be shorter
+                doc, shard, low, high = doc[ok], shard[ok], low[ok], high[ok]
                 words = (w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                base = w.first[own]
-                ids = int_column(part, "doc_id")[own]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(ids), pa.array(start.astype(np.int32)), pa.array([words[b + s : b + e].tobytes() for b, s, e in zip(base, start, end, strict=True)], pa.binary())], names=["shard", "doc_id", "start", "words"])
+                base, ids = w.first[doc], int_column(part, "doc_id")[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), pa.array(low.astype(np.int32)), pa.array([words[b + s : b + e].tobytes() for b, s, e in zip(base, low, high, strict=True)], pa.binary())], names=["shard", "doc_id", "start", "words"])
 
     return run
 
@@ -227,28 +232,29 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit:
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     prints = docs.mapInArrow(_fingerprints(min_words, gram), "f bigint, doc_id bigint, pos int")
-    shared = written(prints.repartition("f").sortWithinPartitions("f", "doc_id").mapInArrow(_shared, "shard bigint, doc_id bigint, pos int"))
-    schema = "shard bigint, doc_id bigint, start int, words binary"
-    rows = collected(shared, 20, limit)
-    if rows is not None:  # few marks: the texts stay where they are
-        ids, shard, pos = (rows.column(c).to_numpy() for c in ("doc_id", "shard", "pos"))
+    shared = prints.repartition("f").sortWithinPartitions("f", "doc_id").mapInArrow(_shared, "shard bigint, doc_id bigint, pos int")
+    regions = written(shared.repartition("doc_id").sortWithinPartitions("doc_id", "shard", "pos").mapInArrow(_regions(min_words, gram), "doc_id bigint, shard bigint, low int, high int"))
+    schema, names = "shard bigint, doc_id bigint, start int, words binary", ("shard", "low", "high")
+    rows = collected(regions, 24, limit)
+    if rows is not None:  # few regions: the texts stay where they are
+        ids = rows.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        sent = docs.sparkSession.sparkContext.broadcast((ids[order], shard[order], pos[order]))
+        sent = docs.sparkSession.sparkContext.broadcast((ids[order], *(rows.column(c).to_numpy()[order] for c in names)))
 
-        def from_broadcast(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            all_ids, all_shards, all_pos = sent.value
+        def from_broadcast(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            all_ids, *columns = sent.value
             row, at = matching(all_ids, int_column(part, "doc_id"))
-            return row, all_shards[at], all_pos[at].astype(np.int64)
+            return row, *(x[at] for x in columns)
 
-        pieces = docs.mapInArrow(_stretches(min_words, gram, from_broadcast), schema)
+        pieces = docs.mapInArrow(_stretches(min_words, from_broadcast), schema)
     else:
-        marks = shared.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "pos")).alias("marks")).withColumnRenamed("doc_id", "__id")
+        per_doc = regions.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("regions")).withColumnRenamed("doc_id", "__id")
 
-        def from_column(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            row, flat = list_rows(arrow_array(part, "marks"))
-            return row, flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+        def from_column(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            row, flat = list_rows(arrow_array(part, "regions"))
+            return row, *(flat.field(i).to_numpy() for i in range(3))
 
-        pieces = docs.join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "marks").mapInArrow(_stretches(min_words, gram, from_column), schema)
+        pieces = docs.join(per_doc, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "regions").mapInArrow(_stretches(min_words, from_column), schema)
     return pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(_matched(min_words), "doc_id bigint, start int, end int")
 
 
