@@ -32,8 +32,8 @@ from quillstack.llm import textvec as tv
 from quillstack.llm.common import arrow_array, bucket_links, connected_components, grouped, int_column, prepare, run_starts, spread, without, written
 
 SHINGLE, COMPONENTS, BAND_ROWS, THRESHOLD = 3, 128, 4, 0.5
-#: Components in a sketch, 4 bits each, of which so many must agree within a bucket.
-SKETCH, SKETCH_AGREE = 16, 4
+#: Within a bucket so large a share of the components must agree in 2 bits: 0.625 is expected at similarity 0.5.
+SKETCH_AGREE = 0.53
 
 
 def bags(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,17 +86,16 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """4 bits of each of the last components."""
-    x = tv.mix(sig[:, -SKETCH:]) & np.uint64(15)
-    return (x << (np.arange(SKETCH, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
+    """2 bits of every component, 32 of them in each 64-bit word."""
+    x = (tv.mix(sig) & np.uint64(3)).reshape(len(sig), sig.shape[1] // 32, 32)
+    return (x << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64)
 
 
 def sketches_agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether at least SKETCH_AGREE of the 4-bit fields are equal."""
-    x = np.asarray(a).view(np.uint64) ^ np.asarray(b).view(np.uint64)
-    x = x | (x >> np.uint64(1))
-    x = (x | (x >> np.uint64(2))) & np.uint64(0x1111111111111111)
-    return SKETCH - np.bitwise_count(x) >= SKETCH_AGREE
+    """Whether at least SKETCH_AGREE of the 2-bit fields are equal."""
+    x = (a ^ b).view(np.uint64)
+    differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1)
+    return differ <= (1 - SKETCH_AGREE) * 32 * x.shape[-1]
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -158,7 +157,9 @@ def _groups(threshold: float):
 
 
 def candidate_groups(docs: DataFrame, components: int = COMPONENTS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, comp) of documents that share a bucket and a sketch with another, transitively."""
+    """(id, comp) of documents that share a bucket and a sketch with another, transitively.
+    components is a multiple of 32."""
+    names = [f"sketch{i}" for i in range(components // 32)]
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +171,10 @@ def candidate_groups(docs: DataFrame, components: int = COMPONENTS, band_rows: i
                 ids, sig = int_column(part, "doc_id")[some], sig[some]
                 keys, sk = band_keys(sig, band_rows), sketches(sig)
                 b = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, b)), pa.array(np.repeat(sk, b).view(np.int64))], names=["key", "id", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, b)), *(pa.array(np.repeat(x, b).view(np.int64)) for x in sk.T)], names=["key", "id", *names])
 
-    rows = docs.select("doc_id", "text").mapInArrow(bands, "key bigint, id bigint, sketch bigint")
-    links = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(bucket_links(sketches_agree), "a bigint, b bigint")
+    rows = docs.select("doc_id", "text").mapInArrow(bands, "key bigint, id bigint, " + ", ".join(f"{x} bigint" for x in names))
+    links = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(bucket_links(sketches_agree, tuple(names)), "a bigint, b bigint")
     return connected_components(links)
 
 
