@@ -176,13 +176,14 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
 
 
 #: Rows of a bucket that are compared pair by pair; larger buckets are searched breadth first.
-PAIRED_ROWS = 33
+PAIRED_ROWS = 512
 
 
-def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: tuple[str, ...] = ("sketch",)):
+def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: tuple[str, ...] = ("sketch",), quick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
     """For mapInArrow over rows (key, id, sketches) sorted by key: star edges of the
     components, within a bucket or several, of the rows whose sketches are linked.
-    linked compares arrays whose last axis is the sketch columns."""
+    linked compares arrays whose last axis is the sketch columns; quick, which must hold
+    for all that are linked, compares the first column alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key"]):
@@ -193,10 +194,12 @@ def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketche
             left = np.repeat(at[1:], size) - np.arange(len(key)) - 1  # rows of the bucket after each
             left[np.repeat(size > PAIRED_ROWS, size)] = 0
             a, b = [], []
+            open_, lead = np.arange(len(key)), np.ascontiguousarray(sketch[:, 0])
             for step in range(1, PAIRED_ROWS):
-                i = np.flatnonzero(left >= step)
-                if not len(i):
+                open_ = open_[left[open_] >= step]
+                if not len(open_):
                     break
+                i = open_ if quick is None else open_[quick(lead[open_], lead[open_ + step])]
                 i = i[linked(sketch[i], sketch[i + step])]
                 a.append(ids[i])
                 b.append(ids[i + step])
