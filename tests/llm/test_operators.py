@@ -91,7 +91,7 @@ def test_components(spark, one_task):
 
 
 def test_bucket_links_beyond_the_paired_size(spark):
-    rows = [(k, 1000 * k + i, (i % 3) * 7) for k, n in ((1, 1), (2, 2), (3, 50), (4, 5)) for i in range(n)]
+    rows = [(k, 10_000 * k + i, (i % 3) * 7) for k, n in ((1, 1), (2, 2), (3, 700), (4, 5)) for i in range(n)]
     df = spark.createDataFrame(rows, "key bigint, id bigint, sketch bigint").repartition("key").sortWithinPartitions("key", "id")
     links = df.mapInArrow(common.bucket_links(lambda a, b: a[..., 0] == b[..., 0]), "a bigint, b bigint")
     got = {r.id: r.comp for r in common.connected_components(links).collect()}

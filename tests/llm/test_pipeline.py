@@ -22,12 +22,12 @@ def test_registry():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "decontamination", "source_mixing"]
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
     before, columns = docs.collect(), docs.columns
     kept = {r.doc_id for r in quality.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.keep}
     for name, stage in corpus_pipeline.STAGES:
-        path = f"/tmp/quillstack-test-{os.getpid()}-{name}"
+        path = str(tmp_path / name)
         out = stage(spark, docs, SF)
         assert out.columns == columns
         out.write.mode("overwrite").parquet(path)
