@@ -31,8 +31,8 @@ from quillstack.llm.common import arrow_array, int_column, keep_masked, prepare
 MAX_LABELLED = 6000
 #: Share of the class covariance replaced by the pooled one, and of the result by a multiple of the identity.
 SHRINK_POOLED, SHRINK_IDENTITY = 0.15, 0.05
-#: A lexicon entry is at least so many times as common in toxic documents, and in this share of them.
-LEXICON_RATIO, LEXICON_SHARE = 12.0, 0.004
+#: A lexicon entry is at least so many times as common in toxic documents, with this log-likelihood ratio at least.
+LEXICON_RATIO, LEXICON_EVIDENCE = 12.0, 16.0
 
 STATS = ("words", "word_length", "upper", "symbols", "digits", "space", "long_words", "distinct", "repeated_lines", "line_length", "top_word", "stops")
 PREFIXES = (4, 5)
@@ -203,8 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     lexicon = np.zeros(0, np.uint64)
     if n_bad and n_rest:
         counts = sample.mapInArrow(count, "key bigint, bad bigint, rest bigint").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("rest").alias("rest"))
-        least = max(2, LEXICON_SHARE * n_bad)
-        picked = counts.filter((F.col("bad") >= least) & (F.col("bad") / n_bad >= LEXICON_RATIO * (F.col("rest") + 0.5) / n_rest))
+        bad, rest, share = F.col("bad"), F.col("rest"), n_bad / (n_bad + n_rest)
+        part = lambda n, p: F.when(n > 0, n * F.log(n / ((bad + rest) * p))).otherwise(0.0)
+        picked = counts.filter((bad / n_bad >= LEXICON_RATIO * (rest + 0.5) / n_rest) & (2 * (part(bad, share) + part(rest, 1 - share)) >= LEXICON_EVIDENCE))
         lexicon = np.sort(picked.select("key").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
     lex = spark.sparkContext.broadcast(lexicon)
