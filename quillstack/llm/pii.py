@@ -37,8 +37,8 @@ ROUNDS = 8
 MOST_EXCEPTIONS = 1_000_000
 
 FIRST_NAMES = {
-    ("m", "latin"): "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew kenneth peter george hans klaus jürgen wolfgang pierre jean michel andré josé carlos luis miguel antonio pedro".split(),
-    ("f", "latin"): "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle carol amanda ursula monika sabine ingrid marie nathalie isabelle sylvie maría carmen ana laura lucía elena".split(),
+    ("m", "latin"): "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew kenneth peter george hans klaus jürgen wolfgang pierre jean michel andré josé jose carlos luis miguel antonio pedro".split(),
+    ("f", "latin"): "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle carol amanda ursula monika sabine ingrid marie nathalie isabelle sylvie maría maria carmen ana anna laura lucía elena".split(),
     ("m", "cyrillic"): "александр дмитрий сергей андрей алексей иван михаил николай владимир павел".split(),
     ("f", "cyrillic"): "анна мария елена ольга наталья татьяна ирина светлана екатерина юлия".split(),
     ("m", "greek"): "γιώργος νίκος κώστας δημήτρης γιάννης παναγιώτης".split(),
@@ -60,6 +60,7 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     rf"|(?P<person>\b(?:{TITLES})\.?[ ]+{_NAME}(?:[ ]+{_NAME})?|\b(?i:{'|'.join(sorted(GENDER, key=len, reverse=True))})\b[ ]+{_NAME})"
 )
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-")
 _TITLE = re.compile(rf"(?:{TITLES})\.?[ ]+")
 #: Words that can begin a person: texts without them, digits and "@" hold no entity.
 _STARTS = np.sort(tv.words(pa.array([" ".join(GENDER) + " " + TITLES.replace("|", " ").replace("?", "") + " Mr Sr Señor token apikey api secret password passwd access private"])).hash)
@@ -157,7 +158,10 @@ class Surrogates:
             return " ".join(self._name(x, tweak if i == value.count(" ") else 0) for i, x in enumerate(value.split(" ")))
         if kind == "hex":
             return self._tweaked("hex", value, tweak)
-        return "".join(s.upper() if c.isupper() else s for c, s in zip(value, self._tweaked("secret", value.lower(), tweak), strict=True))
+        known = _PREFIX.match(value)
+        head = known[0] if known else ""
+        rest = value[len(head) :]
+        return head + "".join(s.upper() if c.isupper() else s for c, s in zip(rest, self._tweaked("secret", rest.lower(), tweak), strict=True))
 
     def _tweaked(self, label: str, value: str, tweak: int) -> str:
         out = self.shaped(label, value)
