@@ -32,7 +32,7 @@ MAX_LABELLED = 6000
 #: Share of the class covariance replaced by the pooled one, and of the result by a multiple of the identity.
 SHRINK_POOLED, SHRINK_IDENTITY = 0.15, 0.05
 #: A lexicon entry is at least so many times as common in toxic documents, with this log-likelihood ratio at least.
-LEXICON_RATIO, LEXICON_EVIDENCE = 12.0, 16.0
+LEXICON_RATIO, LEXICON_EVIDENCE = 50.0, 16.0
 
 STATS = ("words", "word_length", "upper", "symbols", "digits", "space", "long_words", "distinct", "repeated_lines", "line_length", "top_word", "stops")
 PREFIXES = (4, 5)
