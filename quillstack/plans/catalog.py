@@ -33,7 +33,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # ---------------------------------------------------------------- corpora
@@ -55,8 +55,13 @@ def books_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = segment.split_paragraphs(lines_docs(spark, sf_dir))
-    return out.select("corpus_id", js.numbered_id("span", F.col("ord")).alias("span_id"), "ord", "text", F.array().cast("array<string>").alias("heading_path"))
+    """Compiled once a session, as the artifacts of a corpus are."""
+
+    def make() -> DataFrame:
+        out = segment.split_paragraphs(lines_docs(spark, sf_dir))
+        return store.written(out.select("corpus_id", js.numbered_id("span", F.col("ord")).alias("span_id"), "ord", "text", F.array().cast("array<string>").alias("heading_path")))
+
+    return store.once(spark, "lines", sf_dir, make)
 
 
 def books_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +90,13 @@ def all_embedded(spark: SparkSession, sf_dir: str) -> ix.Index:
 
 
 def books_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.assigned(books_spans(spark, sf_dir), books_docs(spark, sf_dir))
+    """Compiled once a session."""
+    return store.once(spark, "books_assigned", sf_dir, lambda: store.written(structure.assigned(books_spans(spark, sf_dir), books_docs(spark, sf_dir))))
 
 
 def books_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     def make() -> ix.Index:
-        a = store.written(books_assigned(spark, sf_dir))
+        a = books_assigned(spark, sf_dir)
         spans = a.select("corpus_id", "span_id", "ord", "text", "heading_path")
         p = store.written(ix.postings(spans).repartitionByRange(8, "token").sortWithinPartitions("token", "corpus_id"))
         return ix.Index(spans, p, store.written(ix.terms(p)), store.written(ix.corpus_stats(spans)), None, store.written(structure.sections(a)), structure.paragraphs(a))
@@ -249,9 +255,8 @@ def citation_markers(spark, sf_dir):
 
 @query("fuzzy_neighborhood", sql(ALL, "SELECT token, df FROM terms WHERE levenshtein(token, 'hestid') = 1"))
 def fuzzy_neighborhood(spark, sf_dir):
-    words = [t for t in dict.fromkeys(fz.neighborhood("hestid"))]
-    near = F.broadcast(spark.createDataFrame([(t,) for t in words], "token string"))
-    return all_index(spark, sf_dir).terms.join(near, "token").select("token", "df")
+    words = list(dict.fromkeys(fz.neighborhood("hestid")))
+    return all_index(spark, sf_dir).terms.filter(F.col("token").isin(words)).select("token", "df")
 
 
 _TOKEN_VALUES = """tv AS (SELECT token, d, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END % 10000 / 5000.0 - 1 AS v FROM

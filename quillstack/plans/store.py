@@ -32,3 +32,9 @@ def once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], object]
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores when it comes from fewer pieces than there are cores, as one small file does; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
