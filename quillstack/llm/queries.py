@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from quillstack.llm import bagminhash, bitslice, decontam, htmlx, lines, lm, mixing, pii, quality, substr
+from quillstack.plans.store import spread
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
