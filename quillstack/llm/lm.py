@@ -5,7 +5,7 @@ other words are an unknown word, spelled by the corpus's byte frequencies. Words
 into classes by frequency rank, and a word's probability is that of its class times
 that of the word within its class, both read from the state of a gated recurrent unit.
 
-Training is data parallel. A share of the documents, drawn by hash of doc_id, is split
+Training is data parallel. All documents, each once, are split by hash of doc_id
 into rounds and shards whose number grows with the corpus; each shard runs truncated
 backpropagation from the round's common parameters, the state carried from window to
 window within a document, and the results are averaged, weighted by words. Scoring
@@ -14,8 +14,8 @@ symbol; its log-likelihood is complete.
 
 Defined cases: null and empty texts have the probability of the end symbol alone; rows
 are scored one by one, so repeated rows repeat; null doc_ids are scored but not trained
-on; an empty table gives no rows; with no document in the share the model is the
-frequencies that it starts from.
+on; an empty table gives no rows; with no document to train on the model is
+the frequencies that it starts from.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from quillstack.llm import textvec as tv
 from quillstack.llm.common import arrow_array, int_column, prepare, written
 
 VOCABULARY, CLASS_WORDS, HIDDEN = 2048, 64, 24
-TRAIN_SHARE, ROUNDS, SHARD_DOCUMENTS = 0.1, 3, 1000
+TRAIN_SHARE, ROUNDS, SHARD_DOCUMENTS = 1.0, 3, 1000
 STREAMS, WINDOW, RATE, CLIP = 64, 16, 0.08, 5.0
 SCORE_STREAMS, SCORE_WORDS = 512, 1 << 21
 BLOCKS = 64

@@ -170,6 +170,15 @@ def test_lm_query(spark):
     assert lm.score(table(spark, ["a b"]), share=0.0).first().n_words == 2
 
 
+def test_lm_trains_on_all_documents(spark):
+    rng = random.Random(70)
+    docs = table(spark, [words(rng, 30) for _ in range(40)])
+    vocabulary = lm.count_words(docs)
+    all_of_them = lm.fit(docs, vocabulary, share=1.0).flat
+    assert np.allclose(lm.fit(docs, vocabulary).flat, all_of_them)
+    assert not np.allclose(lm.fit(docs, vocabulary, share=0.1).flat, all_of_them)
+
+
 # ---------------------------------------------------------------- 2: decontamination
 
 
