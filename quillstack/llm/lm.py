@@ -1,12 +1,15 @@
 """LM scoring: a gated recurrent language model with a class-factored softmax.
 
-The vocabulary is the VOCABULARY most frequent words, counted over all documents;
-other words are an unknown word, spelled by the corpus's byte frequencies. Words fall
-into classes by frequency rank, and a word's probability is that of its class times
+The vocabulary is counted over all documents: the most frequent words that make up
+COVERAGE of all words' occurrences, at least VOCABULARY of them, and all words as
+frequent as the last; it grows with the corpus. Other words are an unknown word,
+spelled by the corpus's byte frequencies. Words fall into classes by frequency rank,
+some square root of the vocabulary wide, and a word's probability is that of its class times
 that of the word within its class, both read from the state of a gated recurrent unit.
 
 Training is data parallel. All documents, each once, are split by hash of doc_id
-into rounds and shards whose number grows with the corpus; each shard runs truncated
+into rounds and shards whose number grows with the corpus, as far as a shard has
+WORDS_A_PARAMETER for every parameter that it sends; each shard runs truncated
 backpropagation from the round's common parameters, the state carried from window to
 window within a document, and the results are averaged, weighted by words. Scoring
 runs every document whole, window after window with the state carried, to the end
@@ -30,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from quillstack.llm import textvec as tv
 from quillstack.llm.common import arrow_array, int_column, prepare, written
 
-VOCABULARY, CLASS_WORDS, HIDDEN = 2048, 64, 24
-TRAIN_SHARE, ROUNDS, SHARD_DOCUMENTS = 1.0, 3, 1000
+COVERAGE, VOCABULARY, CLASS_WORDS, HIDDEN = 0.9, 2048, 64, 24
+TRAIN_SHARE, ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 1.0, 3, 1000, 0.4
 STREAMS, WINDOW, RATE, CLIP = 64, 16, 0.08, 5.0
 SCORE_STREAMS, SCORE_WORDS = 512, 1 << 21
 BLOCKS = 64
@@ -62,7 +65,7 @@ class Model:
 
     def __init__(self, size: int, hidden: int = HIDDEN, flat: np.ndarray | None = None):
         self.size, self.hidden = size, hidden
-        self.width = min(CLASS_WORDS, size)
+        self.width = min(max(CLASS_WORDS, int(np.sqrt(size))), size)
         self.classes = -(-size // self.width)
         shapes = {"x": (size + 1, 3 * hidden), "r": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "u": (self.classes, hidden, self.width), "ub": (self.classes, self.width)}
         ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
@@ -199,7 +202,7 @@ def train(model: Model, ids: np.ndarray, first: np.ndarray, rate: float = RATE)
     x, y, doc = laid_out(ids, first, model.size, STREAMS)
     b, k = x.shape[1], model.hidden
     h = np.zeros((b, k), np.float32)
-    grad, memory = Model(model.size, k), np.full(len(model.flat), 0.05, np.float32)
+    grad, memory = Model(model.size, k), Model(model.size, k, np.full(len(model.flat), 0.05, np.float32))
     total, seen = 0.0, 0
     for lo in range(0, len(x), WINDOW):
         hi = min(len(x), lo + WINDOW)
@@ -212,7 +215,6 @@ def train(model: Model, ids: np.ndarray, first: np.ndarray, rate: float = RATE)
             h = new
             tape[-1] = (*tape[-1], new)
         live = doc[lo:hi] >= 0
-        grad.flat[...] = 0
         states = np.stack([s[-1] for s in tape])
         p, dh = model.output(states[live], y[lo:hi][live], grad)
         total, seen = total + p.sum(), seen + len(p)
@@ -236,18 +238,38 @@ def train(model: Model, ids: np.ndarray, first: np.ndarray, rate: float = RATE)
         where = x[lo:hi].ravel()
         order = np.argsort(where, kind="stable")
         at = np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1]))
-        grad.x[where[order][at]] = np.add.reduceat(flat_in[order], at, axis=0)
+        words = where[order][at]
+        grad.x[words] = np.add.reduceat(flat_in[order], at, axis=0)
         grad.r += np.concatenate([s[0] for s in tape]).T @ d_state.reshape(-1, 3 * k)
-        g = grad.flat / max(1, len(p)) * 32
-        norm = float(np.sqrt(g @ g))
-        if norm > CLIP:
-            g *= CLIP / norm
-        memory += g * g
-        model.flat -= rate * g / np.sqrt(memory)
+        classes = np.unique(y[lo:hi][live] // model.width)
+        descend(model, grad, memory, {"x": words, "r": slice(None), "c": slice(None), "cb": slice(None), "u": classes, "ub": classes}, 32 / max(1, len(p)), rate)
     return total / max(1, seen)
 
 
-def count_words(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+def descend(model: Model, grad: Model, memory: Model, rows: dict, scale: float, rate: float) -> None:
+    """One clipped step of Adagrad on the rows that have gradients, which are set to 0 again."""
+    parts = {name: getattr(grad, name)[at] * np.float32(scale) for name, at in rows.items()}
+    norm = float(np.sqrt(sum(np.vdot(g, g) for g in parts.values())))
+    for name, at in rows.items():
+        g = parts[name]
+        if norm > CLIP:
+            g *= np.float32(CLIP / norm)
+        seen = getattr(memory, name)[at] + g * g
+        getattr(memory, name)[at] = seen
+        getattr(model, name)[at] -= np.float32(rate) * g / np.sqrt(seen)
+        getattr(grad, name)[at] = 0
+
+
+def least_count(n: np.ndarray, words: np.ndarray, coverage: float, size: int) -> int:
+    """The largest count whose words, with all more frequent ones, are at least size and make up
+    coverage of all occurrences; words[i] words occur n[i] times."""
+    order = np.argsort(-n)
+    n, words = n[order], words[order]
+    enough = (np.cumsum(n * words) >= coverage * (n * words).sum()) & (np.cumsum(words) >= size)
+    return int(n[np.argmax(enough)]) if enough.any() else 1
+
+
+def count_words(docs: DataFrame, size: int = VOCABULARY, coverage: float = COVERAGE) -> Vocabulary:
     """The vocabulary and the byte frequencies, counted over all documents."""
     prepare(docs.sparkSession)
 
@@ -276,7 +298,9 @@ def count_words(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
             spelled[r["key"]] = r["n"]
         else:
             rows = r["n"]
-    top = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(size).toArrow()
+    frequent = counts.filter("kind = 0").groupBy("n").count().toArrow()
+    least = least_count(frequent.column("n").to_numpy().astype(float), frequent.column("count").to_numpy().astype(float), coverage, size)
+    top = counts.filter((F.col("kind") == 0) & (F.col("n") >= least)).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
     key, n = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(float)
     order = np.argsort(key)
     spelled = np.log((spelled + 0.5) / (spelled.sum() + 0.5 * 257))
@@ -318,7 +342,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, share: float = TRAIN_SHARE, rou
         return model
     sent_vocabulary = spark.sparkContext.broadcast(vocabulary)
     edges = np.linspace(0, len(model.flat), BLOCKS + 1).astype(int)
-    shards = max(1, n // (rounds * shard_documents))
+    words_a_shard = WORDS_A_PARAMETER * len(model.flat)
+    shards = max(1, min(n // (rounds * shard_documents), int(share * vocabulary.counts[:-1].sum() / rounds / words_a_shard)))
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model.flat)
 

@@ -170,6 +170,18 @@ def test_lm_query(spark):
     assert lm.score(table(spark, ["a b"]), share=0.0).first().n_words == 2
 
 
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (3000, 9000):
+        docs = [" ".join(f"v{k}x" for k in range(d, n, 10)) for d in range(10)]
+        v = lm.count_words(table(spark, docs * 2 + [f"rare{i}" for i in range(n // 10)]))
+        assert v.counts[-2] <= (1 - lm.COVERAGE) * v.counts[:-1].sum() and len(v.words) == v.size - 2
+        sizes.append(len(v.words))
+    assert sizes == [3000, 9000]
+    assert lm.least_count(np.array([1.0, 5.0, 2.0]), np.array([10.0, 4.0, 10.0]), 0.5, 3) == 2
+    assert lm.least_count(np.array([1.0, 5.0]), np.array([10.0, 4.0]), 0.5, 99) == 1
+
+
 def test_lm_trains_on_all_documents(spark):
     rng = random.Random(70)
     docs = table(spark, [words(rng, 30) for _ in range(40)])
