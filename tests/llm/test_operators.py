@@ -583,6 +583,20 @@ def test_line_dedup_against_brute_force(spark, limit):
             assert i not in out
 
 
+def test_line_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(180)
+    docs, sizes = [], [10, 11, 12, 15, 19, 20, 25, 29, 30, 40, 50, 59, 100, 150, 170, 254, 260, 300]
+    for n in sizes:
+        for k in range(20):
+            a = words(rng, n, 90_000).split()
+            b, most = list(a), int(0.1 * n + 1e-9)
+            for p in sorted(rng.sample(range(n), most), reverse=True):
+                b[p : p + 1] = [[f"z{rng.randrange(10**6)}q"], []][k % 4 == 3]  # substituted or deleted
+            docs += [" ".join(a), " ".join(b)]
+    found = Counter(sizes[r.doc_id // 40] for r in lines.removals(table(spark, docs)).collect())
+    assert found == {n: 20 for n in sizes}
+
+
 def test_line_cases(spark):
     docs = table(spark, [*ODD, "a b c d e f\nkeep me", "A  b, c d e f!"], [*range(len(ODD)), 100, 101])
     out = lines.dedup_documents(docs)
