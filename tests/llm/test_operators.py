@@ -597,6 +597,12 @@ def test_line_pairs_at_the_threshold_are_found(spark):
     assert found == {n: 20 for n in sizes}
 
 
+def test_short_lines_go_if_equal(spark):
+    docs = table(spark, ["All rights reserved\nfirst text", "one\n!!!\nsecond text", "ALL rights, reserved.\nOne\n!!!\nthird text"])
+    got = {(r.doc_id, r.line, r.kept_doc_id, r.kept_line) for r in lines.removals(docs).collect()}
+    assert got == {(2, 0, 0, 0), (2, 1, 1, 0)}
+
+
 def test_line_cases(spark):
     docs = table(spark, [*ODD, "a b c d e f\nkeep me", "A  b, c d e f!"], [*range(len(ODD)), 100, 101])
     out = lines.dedup_documents(docs)
