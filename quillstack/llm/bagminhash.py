@@ -118,12 +118,18 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / max(1, a[1].sum() + b[1].sum() - both)
 
 
+def one_batch(table: pa.Table) -> pa.RecordBatch:
+    """All rows of (comp, id, text) in one batch; only large strings are joined past 2 GiB."""
+    (batch,) = table.set_column(2, "text", table.column(2).cast(pa.large_string())).combine_chunks().to_batches()
+    return batch
+
+
 def _groups(threshold: float):
     """For mapInArrow over (comp, id, text) sorted by comp, id: (doc_id, kept) of grouped documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["comp"]):
-            batch = table.combine_chunks().to_batches()[0]
+            batch = one_batch(table)
             comp = batch.column(0).to_numpy()
             for s, e in zip((at := run_starts(comp))[:-1], at[1:], strict=True):
                 ids, where = np.unique(batch.column(1).slice(s, e - s).to_numpy(), return_inverse=True)

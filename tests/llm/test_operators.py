@@ -678,6 +678,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert out.count() == 1 + sum(i == r for i, r in got.items()) and len(out.columns) == 12
 
 
+def test_groups_past_two_gib_stay_whole():
+    text = pa.array(["x" * (1100 << 20)])
+    part = pa.record_batch([pa.array([1]), pa.array([2]), text], names=["comp", "id", "text"])
+    table = pa.Table.from_batches([part, part])
+    assert len(table.combine_chunks().to_batches()) == 2  # what was read as one batch before
+    assert bagminhash.one_batch(table).num_rows == 2
+
+
 def test_near_cases(spark):
     docs = table(spark, ["a b c d", "a b c d", None, "", "  "], [3, 3, 4, 5, None])
     assert sorted((r.doc_id, r.kept_doc_id) for r in bagminhash.near_duplicates(docs).collect()) == [(3, 3), (4, 4), (5, 5)]
