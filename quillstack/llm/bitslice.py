@@ -9,14 +9,17 @@ is left. From the most significant slice of the sum downward the k-th best value
 found; every row that the quantisation errors leave within reach of it is a boundary
 row, and those are resolved by their exact similarity, so the result is exact.
 
-Every row is a query against all the others. Similarity is the cosine, ranked after
-rounding to 9 digits, ties by id. Defined cases: rows without id or vector, and zero
-vectors, have no neighbours and are none; nulls within a vector are 0, shorter vectors
-are padded with 0; of rows with the same id the first in vector order counts; fewer than
-k other rows give fewer results.
-
-The index travels to the workers in blocks of bounded size; a larger table is searched
-block by block, and the blocks' best are merged.
+The queries are the rows whose id is divisible by EVERY, each against all other rows.
+The table is cut into blocks by hash of the id; every block is sliced once and its
+slices are written. Queries travel to the blocks in waves of bounded size; a task
+merges the best of its blocks, so k rows a query and task are shuffled.
+
+Similarity is the cosine, ranked after rounding to 9 digits, ties by id. Defined cases:
+rows without id or vector, and zero vectors, have no neighbours and are none; nulls
+within a vector are 0, shorter vectors are padded with 0; of rows with the same id the
+first in vector order counts, so repeated rows count once; fewer than k other rows give
+fewer results; an empty table gives none; very long vectors make blocks of fewer rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,25 +31,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from quillstack.llm.common import BROADCAST_BYTES, arrow_array, int_column, prepare, written
+from quillstack.llm.common import BROADCAST_BYTES, arrow_array, drop, grouped, int_column, mapped, prepare, written
 
-K, BITS, WEIGHT_BITS, BLOCK_ROWS = 10, 6, 5, 32768
+K, EVERY, BITS, WEIGHT_BITS = 10, 50, 6, 5
+#: Rows and bytes of vectors of a block at most.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 16 << 20
 DIGITS = 9
 
 
 class Index:
-    """Bit slices of up to BLOCK_ROWS unit vectors."""
+    """Bit slices of the unit vectors of a block; slices are made unless they were stored."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, bits: int = BITS):
-        self.ids, self.x, self.n = ids, x, len(ids)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, bits: int = BITS, stored: np.ndarray | None = None):
+        self.ids, self.x, self.n, self.bits = ids, x, len(ids), bits
         low, high = x.min(0), x.max(0)
         self.step = np.maximum((high - low) / ((1 << bits) - 1), 1e-12)
         level = np.clip(np.rint((x - low) / self.step), 0, (1 << bits) - 1).astype(np.uint8)
-        self.low, self.bits = low, bits
         self.residual = float(np.sqrt(((x - low - level * self.step) ** 2).sum(1).max(initial=0)))
         words = -(-self.n // 64)
         self.all = self.packed(np.ones(self.n, bool), words)
-        plain = np.stack([[self.packed((level[:, j] >> t) & 1 > 0, words) for t in range(bits)] for j in range(x.shape[1])])
+        plain = np.stack([[self.packed((level[:, j] >> t) & 1 > 0, words) for t in range(bits)] for j in range(x.shape[1])]) if stored is None else stored.reshape(x.shape[1], bits, words)
         self.slices = np.stack([plain, ~plain & self.all])  # sign, attribute, bit, words
 
     @staticmethod
@@ -146,50 +150,79 @@ def vectors(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)[:, None]
 
 
-def nearest(rows: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(vec_id, neighbor_id, rank, score): for every row its k most similar other rows."""
+SLICED = "ids binary, vectors binary, slices binary"
+FOUND = "vec_id bigint, neighbor_id bigint, score double"
+
+
+def _sliced(width: int, block_rows: int):
+    """For mapInArrow over (block, vec_id, embedding) sorted by block, vec_id: one row a block of block_rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["block"]):
+            for batch in table.combine_chunks().to_batches():
+                block, ids = int_column(batch, "block"), int_column(batch, "vec_id")
+                at = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+                for s, e in ((i, min(i + block_rows, e)) for s, e in zip(at[:-1], at[1:], strict=True) for i in range(s, e, block_rows)):
+                    ix = Index(ids[s:e], vectors(batch.slice(s, e - s), width))
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ix.ids, ix.x, ix.slices[0])], names=["ids", "vectors", "slices"])
+
+    return run
+
+
+def _best(own: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k rows of each own by score, ties by id."""
+    order = np.lexsort((found, -score, own))
+    own, found, score = own[order], found[order], score[order]
+    keep = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return own[keep], found[keep], score[keep]
+
+
+def nearest(rows: DataFrame, k: int = K, every: int = EVERY, block_rows: int = BLOCK_ROWS, wave_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(vec_id, neighbor_id, rank, score): for every row whose id is divisible by every, its k most similar other rows."""
     spark = rows.sparkSession
     prepare(spark)
     rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter("vec_id is not null and exists(embedding, v -> v is not null and v <> 0)")
     rows = written(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    width, n = rows.agg(F.max(F.size("embedding")), F.count("*")).first()
-    schema = "vec_id bigint, neighbor_id bigint, score double"
-    out = spark.createDataFrame([], schema)
-    waves = max(1, -(-n * (width or 0) * 8 // block_bytes))
-    queries = rows.repartition(max(spark.sparkContext.defaultParallelism * 2, -(-n // 2048)), "vec_id")
-    for wave in range(waves if n else 0):
-        table = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).toArrow().sort_by("vec_id").combine_chunks()
-        if not table.num_rows:
-            continue
-        batch = table.to_batches()[0]
-        sent = spark.sparkContext.broadcast((int_column(batch, "vec_id"), vectors(batch, width)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            indexes = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                if indexes is None:
-                    ids, x = sent.value
-                    indexes = [Index(ids[i : i + block_rows], x[i : i + block_rows]) for i in range(0, len(ids), block_rows)]
-                own, found, score = [], [], []
-                for i, q in zip(int_column(batch, "vec_id"), vectors(batch, width), strict=True):
-                    parts = [(ix.ids[at], s) for ix in indexes for at, s in [ix.search(q, i, k)]]
-                    ids_, s_ = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    best = np.lexsort((ids_, -s_))[:k]
-                    own.append(np.full(len(best), i))
-                    found.append(ids_[best])
-                    score.append(s_[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(found)), pa.array(np.concatenate(score))], names=["vec_id", "neighbor_id", "score"])
-
-        out = out.union(queries.mapInArrow(run, schema))
+    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    width, n, asked = rows.agg(F.max(F.size("embedding")), F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
+    out = spark.createDataFrame([], FOUND)
+    if n and asked:
+        block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * width)))
+        blocks = -(-n // block_rows)
+        block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+        index = written(mapped(rows.withColumn("block", block).repartition(blocks, "block").sortWithinPartitions("block", "vec_id"), _sliced(width, block_rows), SLICED))
+        waves = -(-asked * width * 8 // wave_bytes)
+        for wave in range(waves):
+            table = queries.filter(F.pmod(F.xxhash64(F.lit("wave"), "vec_id"), F.lit(waves)) == wave).toArrow().sort_by("vec_id").combine_chunks()
+            if not table.num_rows:
+                continue
+            batch = table.to_batches()[0]
+            sent = spark.sparkContext.broadcast((int_column(batch, "vec_id"), vectors(batch, width)))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                ids, x = sent.value
+                best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for batch in batches:
+                    for row in range(batch.num_rows):
+                        own, vector, stored = (np.frombuffer(arrow_array(batch, c)[row].as_buffer(), t) for c, t in (("ids", np.int64), ("vectors", float), ("slices", np.uint64)))
+                        ix = Index(own, vector.reshape(-1, width), stored=stored)
+                        parts = [ix.search(q, i, k) for i, q in zip(ids, x, strict=True)]
+                        place, score = (np.concatenate(p) for p in zip(*parts, strict=True))
+                        best = _best(np.append(best[0], np.repeat(ids, [len(p) for p, _ in parts])), np.append(best[1], ix.ids[place]), np.append(best[2], score), k)
+                if len(best[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in best], names=["vec_id", "neighbor_id", "score"])
+
+            out = out.union(mapped(index, run, FOUND))
+        out = written(out)
+        drop(index)
+    drop(rows)
     rank = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", F.round("score", 6).alias("score"))
 
 
 ORACLE_SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbor_id) AS INTEGER) AS rank FROM p)
 SELECT vec_id, neighbor_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10
 """
