@@ -10,14 +10,19 @@ their weighted Jaccard similarity. Only points before a time at which all compon
 are very likely hit are generated; documents with a component left out try again
 with twice the time, so the result never depends on that bound.
 
+Documents with equal multisets are of one class from the start: one of each goes on.
 Signatures are cut into bands. Rows of a bucket whose sketches agree are linked,
 links are contracted to candidate groups, and inside each group the multisets
 themselves decide: documents are joined by overlap of at least the threshold,
-transitively. The least doc_id of a group is kept.
+transitively. The least doc_id of a class is kept. Groups of any size are clustered
+by tasks of bounded size (see common.clustered).
 
 Defined cases: a document of one or two words is a single shingle; null or empty
-text, or text without words, is in no group; rows with the same doc_id are one
-document, with the words of all of them; null doc_ids pass and are never grouped.
+text, or text without words, is in no group; very long texts take part whole; rows
+with the same doc_id are one document, with the words of all of them; null doc_ids
+pass and are never grouped; of a tie in similarity nothing depends, as the least
+doc_id is kept; an empty table gives an empty table; other columns, whatever their
+names, pass untouched.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import arrow_array, bucket_links, connected_components, grouped, int_column, prepare, run_starts, spread, without, written
+from quillstack.llm.common import GROUP_BYTES, arrow_array, bucket_links, clustered, connected_components, drop, int_column, mapped, prepare, run_starts, without, written
 
-SHINGLE, COMPONENTS, BAND_ROWS, THRESHOLD = 3, 128, 4, 0.5
-#: Within a bucket so large a share of the components must agree in 2 bits: 0.625 is expected at similarity 0.5.
-SKETCH_AGREE = 0.53
+SHINGLE, COMPONENTS, BAND_ROWS, THRESHOLD = 3, 160, 4, 0.5
+#: Within a bucket so large a share of the first components must agree in 2 bits: 0.625 is expected at similarity 0.5.
+SKETCH_COMPONENTS, SKETCH_AGREE = 128, 0.53
+#: A shingle's hash and weight share 64 bits.
+WEIGHT_BITS = np.uint64(24)
 
 
 def bags(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,61 +118,59 @@ def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.compute.is_valid(arrow_array(batch, "doc_id"))) if arrow_array(batch, "doc_id").null_count else batch
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (shingles sorted, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return both / max(1, a[1].sum() + b[1].sum() - both)
-
-
-def one_batch(table: pa.Table) -> pa.RecordBatch:
-    """All rows of (comp, id, text) in one batch; only large strings are joined past 2 GiB."""
-    (batch,) = table.set_column(2, "text", table.column(2).cast(pa.large_string())).combine_chunks().to_batches()
-    return batch
-
-
-def _groups(threshold: float):
-    """For mapInArrow over (comp, id, text) sorted by comp, id: (doc_id, kept) of grouped documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["comp"]):
-            batch = one_batch(table)
-            comp = batch.column(0).to_numpy()
-            for s, e in zip((at := run_starts(comp))[:-1], at[1:], strict=True):
-                ids, where = np.unique(batch.column(1).slice(s, e - s).to_numpy(), return_inverse=True)
-                pieces, base = [], s
-                for part in tv.chunks(batch.slice(s, e - s), "text"):
-                    doc, key, weight = bags(part.column(2))
-                    pieces.append((where[doc + base - s], key, weight))
-                    base += part.num_rows
-                doc, key, weight = (np.concatenate(x) for x in zip(*pieces, strict=True))
-                order = np.lexsort((key, doc))
-                doc, key, weight = doc[order], key[order], weight[order]
-                at2 = run_starts(doc, key)[:-1]
-                doc, key, weight = doc[at2], key[at2], np.add.reduceat(weight, at2) if len(at2) else weight
-                total, first = np.bincount(doc, weight, len(ids)), np.searchsorted(doc, np.arange(len(ids) + 1))
-
-                def near(i: int, others: np.ndarray) -> np.ndarray:
-                    mine, w = key[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]
-                    size = first[others + 1] - first[others]
-                    row = np.arange(size.sum()) + np.repeat(first[others] - np.cumsum(size) + size, size)
-                    at = np.minimum(np.searchsorted(mine, key[row]), len(mine) - 1)
-                    both = np.where(mine[at] == key[row], np.minimum(w[at], weight[row]), 0)
-                    both = np.bincount(np.repeat(np.arange(len(others)), size), both, len(others))
-                    return both >= threshold * (total[i] + total[others] - both)
-
-                label = spread(len(ids), near)
-                group = np.bincount(label, minlength=len(ids))[label] > 1
-                if group.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[group]), pa.array(ids[label[group]])], names=["doc_id", "kept_doc_id"])
-
-    return run
+def packed(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Shingles with their weights, of at most 2**24 - 1, as int64."""
+    return ((key << WEIGHT_BITS) | np.minimum(weight, (1 << 24) - 1).astype(np.uint64)).view(np.int64)
+
+
+def unpacked(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = value.view(np.uint64)
+    return x >> WEIGHT_BITS, (x & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
+def overlap_one(value: np.ndarray, off: np.ndarray, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the weighted Jaccard similarity of row i of value, between off, and each other is high enough."""
+    mine, w = unpacked(value[off[i] : off[i + 1]])
+    size = off[others + 1] - off[others]
+    row = np.arange(size.sum()) + np.repeat(off[others] - np.cumsum(size) + size, size)
+    key, weight = unpacked(value[row])
+    at = np.minimum(np.searchsorted(mine, key), len(mine) - 1)
+    owner = np.repeat(np.arange(len(others)), size)
+    both = np.bincount(owner, np.where(mine[at] == key, np.minimum(w[at], weight), 0), len(others))
+    return both >= threshold * (w.sum() + np.bincount(owner, weight, len(others)) - both)
+
+
+def overlap_pairs(value: np.ndarray, off: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    return np.array([overlap_one(value, off, i, np.array([j]), threshold)[0] for i, j in zip(a, b, strict=True)], bool)
+
+
+def _bag_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h1, h2) of each row with words: 128 bits of its multiset."""
+    for batch in batches:
+        for part in tv.chunks(_whole(batch), "text"):
+            doc, key, weight = bags(arrow_array(part, "text"))
+            at = run_starts(doc)[:-1]
+            each = [np.add.reduceat(tv.mix(key + np.uint64(seed)) * weight.astype(np.uint64), at) if len(at) else np.zeros(0, np.uint64) for seed in (1 << 50, 1 << 51)]
+            yield pa.RecordBatch.from_arrays([pa.array(int_column(part, "doc_id")[doc[at]]), *(pa.array(h.view(np.int64)) for h in each)], names=["doc_id", "h1", "h2"])
+
+
+def equal_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep): the documents whose multiset another one with a smaller doc_id has, and the least of these;
+    and the doc_ids of several rows, which are not compared here. Both written."""
+    rows = mapped(docs.select("doc_id", "text"), _bag_hashes, "doc_id bigint, h1 bigint, h2 bigint")
+    each = written(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h1").alias("h1"), F.min("h2").alias("h2")))
+    single = each.filter("n = 1")
+    least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "rep")
+    copies = written(single.join(least, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id", "rep"))
+    several = written(each.filter("n > 1").select("doc_id"))
+    drop(each)
+    return copies, several
 
 
 def candidate_groups(docs: DataFrame, components: int = COMPONENTS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, comp) of documents that share a bucket and a sketch with another, transitively.
-    components is a multiple of 32."""
-    names = [f"sketch{i}" for i in range(components // 32)]
+    """(id, comp) of documents that share a bucket and a sketch with another, transitively."""
+    sketched = min(components, SKETCH_COMPONENTS) // 32 * 32
+    names = [f"sketch{i}" for i in range(sketched // 32)]
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,28 +180,61 @@ def candidate_groups(docs: DataFrame, components: int = COMPONENTS, band_rows: i
                 sig = signatures(doc, key, weight, n, components)
                 some = np.bincount(doc, minlength=n) > 0
                 ids, sig = int_column(part, "doc_id")[some], sig[some]
-                keys, sk = band_keys(sig, band_rows), sketches(sig)
+                keys, sk = band_keys(sig, band_rows), sketches(sig[:, :sketched])
                 b = keys.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, b)), *(pa.array(np.repeat(x, b).view(np.int64)) for x in sk.T)], names=["key", "id", *names])
 
-    rows = docs.select("doc_id", "text").mapInArrow(bands, "key bigint, id bigint, " + ", ".join(f"{x} bigint" for x in names))
-    links = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(bucket_links(sketches_agree, tuple(names)), "a bigint, b bigint")
-    return connected_components(links)
+    rows = mapped(docs.select("doc_id", "text"), bands, "key bigint, id bigint, " + ", ".join(f"{x} bigint" for x in names))
+    return connected_components(rows.repartition("key").sortWithinPartitions("key", "id"), links=bucket_links(sketches_agree, tuple(names)))
+
+
+def _packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (comp, id, text): (comp, id, data)."""
+    for batch in batches:
+        for part in tv.chunks(batch, "text"):
+            doc, key, weight = bags(arrow_array(part, "text"))
+            first, value = np.searchsorted(doc, np.arange(part.num_rows + 1)), packed(key, weight)
+            yield pa.RecordBatch.from_arrays([arrow_array(part, "comp"), arrow_array(part, "id"), pa.array([value[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["comp", "id", "data"])
+
+
+def _merged_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (comp, id, list of data): (comp, id, data), the weights of equal shingles added."""
+    for batch in batches:
+        data = []
+        for parts in arrow_array(batch, "data").to_pylist():
+            key, weight = unpacked(np.concatenate([np.frombuffer(x, np.int64) for x in parts]))
+            key, at = np.unique(key, return_inverse=True)
+            data.append(packed(key, np.bincount(at, weight, len(key)).astype(np.int64)).tobytes())
+        yield pa.RecordBatch.from_arrays([arrow_array(batch, "comp"), arrow_array(batch, "id"), pa.array(data, pa.binary())], names=["comp", "id", "data"])
+
+
+BAG = "comp bigint, id bigint, data binary"
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, kept_doc_id) of every document that belongs to a group of near copies."""
+def groups(docs: DataFrame, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(doc_id, kept_doc_id) of every document that belongs to a class of near copies; a written table."""
     prepare(docs.sparkSession)
-    comp = written(candidate_groups(docs).select(F.col("id").alias("__id"), "comp"))
-    n = comp.count()
-    small = F.broadcast(comp) if n * 16 <= 32 << 20 else comp
-    rows = docs.select("doc_id", "text").join(small, F.col("doc_id") == F.col("__id")).select("comp", F.col("__id").alias("id"), "text")
-    return rows.repartition("comp").sortWithinPartitions("comp", "id").mapInArrow(_groups(threshold), "doc_id bigint, kept_doc_id bigint")
+    docs = docs.select("doc_id", "text")
+    copies, several = equal_documents(docs)
+    rest = without(docs, copies.select("doc_id"))
+    comp = written(candidate_groups(rest).select(F.col("id").alias("__id"), "comp"))
+    small = F.broadcast(comp) if comp.count() * 16 <= 32 << 20 else comp
+    rows = rest.join(small, F.col("doc_id") == F.col("__id")).select("comp", F.col("__id").alias("id"), "text")
+    bag = mapped(rows, _packed_bags, BAG)
+    if not several.isEmpty():
+        bag = written(bag)
+        twice = bag.join(several.select(F.col("doc_id").alias("id")), "id", "left_semi").groupBy("comp", "id").agg(F.collect_list("data").alias("data"))
+        bag = bag.join(several.select(F.col("doc_id").alias("id")), "id", "left_anti").select("comp", "id", "data").union(mapped(twice, _merged_bags, BAG))
+    moved = written(clustered(bag, lambda v, off, a, b: overlap_pairs(v, off, a, b, threshold), lambda v, off, i, o: overlap_one(v, off, i, o, threshold), most_bytes))
+    again = copies.join(moved.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("kept_doc_id"))
+    both = written(moved.select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id")).union(again))
+    drop(copies, several, comp, moved)
+    return both.union(both.select(F.col("kept_doc_id").alias("doc_id"), "kept_doc_id").distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_doc_id, keep) of every document with an id; one outside any group keeps itself."""
-    found = written(groups(docs, threshold))
+    found = groups(docs, threshold)
     rest = without(docs.select("doc_id").filter("doc_id is not null").distinct(), written(found.select("doc_id")))
     return found.select("doc_id", "kept_doc_id", (F.col("doc_id") == F.col("kept_doc_id")).alias("keep")).union(rest.select("doc_id", F.col("doc_id").alias("kept_doc_id"), F.lit(True).alias("keep")))
 

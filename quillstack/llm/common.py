@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from quillstack.plans.store import drop, written
+
 #: Bytes that may be sent to every worker; beyond it operators take a shuffle instead.
 BROADCAST_BYTES = 64 << 20
 #: Edges that one task may contract; beyond it the star algorithm runs distributed.
 ONE_TASK_EDGES = 4_000_000
 
-_own_dirs: dict[str, str] = {}
-
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -29,28 +29,32 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-        path = _own_dirs[app]
-    return path.rstrip("/")
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def mapped(df: DataFrame, run: Run, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(); after each partition the worker, which lives on, gives back the memory that it doesn't use."""
 
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstack/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.mapInArrow(released, schema)
 
 
-def field(schema: T.StructType, name: str) -> str:
-    """The type of a column, for DDL."""
-    return schema[name].dataType.simpleString()
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters it has."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def arrow_array(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -122,24 +126,38 @@ EDGE = "a bigint, b bigint"
 
 
 def _contract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of all batches, contracted to stars whenever as many new ones have come as are kept."""
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new: list[pa.RecordBatch] = []
+    have = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return contract(*(np.concatenate([x, *(int_column(batch, c) for batch in new)]) for x, c in ((a, "a"), (b, "b"))))
+
     for batch in batches:
-        a, b = contract(np.append(a, int_column(batch, "a")), np.append(b, int_column(batch, "b")))
+        new.append(batch)
+        have += batch.num_rows
+        if have > max(1 << 16, len(a)):
+            a, b = joined()
+            new, have = [], 0
+    a, b = joined()
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """(id, comp) of every node of edges (a, b); comp is the least id it reaches.
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, links: Run | None = None) -> DataFrame:
+    """(id, comp) of every node of edges (a, b); comp is the least id it reaches. With links,
+    the edges are what links makes of the rows of edges, in the same Python worker.
 
     Each partition first contracts its own edges to stars. If what is left fits
     one task it is contracted there; otherwise large-star and small-star rounds
     run until nothing changes, each round written to the shared folder.
     """
-    edges = written(edges.select("a", "b").mapInArrow(_contract_batches, EDGE))
+    edges = written(mapped(edges, lambda batches: _contract_batches(links(batches)), EDGE) if links else mapped(edges.select("a", "b"), _contract_batches, EDGE))
     if edges.count() <= one_task:
-        out = edges.coalesce(1).mapInArrow(_contract_batches, EDGE)
+        out = mapped(edges.coalesce(1), _contract_batches, EDGE)
         return out.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    first = edges
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     seen = None
     while True:
@@ -148,7 +166,9 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> Da
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small)
+        before, edges = edges, written(small)
+        if before is not first:
+            drop(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
@@ -179,7 +199,7 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
 PAIRED_ROWS = 512
 
 
-def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: tuple[str, ...] = ("sketch",), quick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: tuple[str, ...] = ("sketch",), quick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Run:
     """For mapInArrow over rows (key, id, sketches) sorted by key: star edges of the
     components, within a bucket or several, of the rows whose sketches are linked.
     linked compares arrays whose last axis is the sketch columns; quick, which must hold
@@ -218,6 +238,116 @@ def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketche
     return run
 
 
+#: Bytes of a candidate group that one task clusters; larger groups are cut up.
+GROUP_BYTES = 16 << 20
+Pairs = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+One = Callable[[np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]
+
+
+def binary_items(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The int64 values of a binary column, one after another, and each row's first one."""
+    whole = column.cast(pa.large_binary())
+    if isinstance(whole, pa.ChunkedArray):
+        whole = whole.combine_chunks()
+        whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    off = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8) // 8
+    data = whole.buffers()[2]
+    return np.frombuffer(data, np.int64) if data is not None and data.size else np.zeros(0, np.int64), off
+
+
+def _labelled(pairs: Pairs, one: One) -> Run:
+    """For mapInArrow over (comp, chunk, id, data) sorted so: (comp, id, root), the least id linked to each within a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["comp", "chunk"]):
+            comp, chunk, ids = (table.column(c).to_numpy() for c in ("comp", "chunk", "id"))
+            value, off = binary_items(table.column("data"))
+            at = run_starts(comp, chunk)
+            size = np.diff(at)
+            root = ids.copy()
+            two = at[:-1][size == 2]
+            two = two[pairs(value, off, two, two + 1)]
+            root[two + 1] = ids[two]
+            for s, k in zip(at[:-1][size > 2], size[size > 2], strict=True):
+                root[s : s + k] = ids[s + spread(k, lambda i, o, s=s: one(value, off, s + i, s + o))]
+            yield pa.RecordBatch.from_arrays([pa.array(comp), pa.array(ids), pa.array(root)], names=["comp", "id", "root"])
+
+    return run
+
+
+LABELS = "comp bigint, id bigint, root bigint"
+
+
+def clustered(rows: DataFrame, pairs: Pairs, one: One, most_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(id, root) of the rows (comp, id, data) whose root, the least id of their class, is another:
+    rows of a candidate group comp are of a class if links join them. pairs and one say which
+    rows are linked, from the int64 values of data.
+
+    A group of more than most_bytes is cut into chunks by hash of the id, and each task
+    clusters a chunk. Of what is left of the group, one row for each class of a chunk, the
+    same is done again. Links that may remain lie between rows one of which isn't in the
+    group's largest class: these travel, most_bytes at a time, to all rows of their group.
+    """
+    spark = rows.sparkSession
+    table = written(rows.select("comp", "id", "data"))
+    weight = F.length("data") + 64
+    large = table.groupBy("comp").agg(F.sum(weight).alias("bytes")).filter(F.col("bytes") > most_bytes)
+    large = written(large.select("comp", F.ceil(F.col("bytes") / most_bytes).alias("chunks")))
+    few = F.broadcast(large) if large.count() * 16 <= BROADCAST_BYTES else large
+    cut = table.join(few, "comp", "left").select("comp", F.coalesce(F.pmod(F.xxhash64("id"), "chunks"), F.lit(0)).alias("chunk"), "id", "data")
+    labels = written(mapped(cut.repartition("comp", "chunk").sortWithinPartitions("comp", "chunk", "id"), _labelled(pairs, one), LABELS))
+    if large.isEmpty():
+        drop(table, large)
+        return labels.filter("id <> root").select("id", "root")
+    mine = table.join(few, "comp", "left_semi").join(labels.select("id", "root"), "id")
+    reps = written(mine.filter("id = root").select("comp", "id", "data"))
+    if 2 * reps.count() <= mine.count():
+        up = written(clustered(reps, pairs, one, most_bytes))
+        labels = written(labels.join(up.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("comp", "id", F.coalesce("top", "root").alias("root")))
+        mine = table.join(few, "comp", "left_semi").join(labels.select("id", "root"), "id")
+    held = labels.join(few, "comp", "left_semi").groupBy("comp", "root").agg(F.count("*").alias("n"))
+    main = held.groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    others = written(mine.join(main, "comp").filter("root <> main").select("comp", "id", "root", "data"))
+    total = others.agg(F.sum(weight)).first()[0] or 0
+    waves = -(-total // most_bytes)
+    edges = spark.createDataFrame([], EDGE)
+    for wave in range(waves):
+        some = others.filter(F.pmod(F.xxhash64("id", F.lit("wave")), F.lit(waves)) == wave).toArrow().sort_by([("comp", "ascending"), ("id", "ascending")])
+        if some.num_rows:
+            edges = edges.union(written(mapped(mine.select("comp", "id", "root", "data"), _across(spark.sparkContext.broadcast(some), one), EDGE)))
+    top = written(connected_components(edges))
+    return labels.join(top.select(F.col("id").alias("root"), F.col("comp").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")).filter("id <> root")
+
+
+def _across(sent, one: One) -> Run:
+    """For mapInArrow over (comp, id, root, data): edges between the classes of rows and of linked rows that were sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = sent.value
+        comp, root = there.column("comp").to_numpy(), there.column("root").to_numpy()
+        value, off = binary_items(there.column("data"))
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            mine, more = binary_items(own.column("data"))
+            v, o = np.concatenate([value, mine]), np.append(off, more[1:] - more[0] + off[-1]) if len(more) > 1 else off
+            for i, (c, r) in enumerate(zip(int_column(batch, "comp"), int_column(batch, "root"), strict=True)):
+                lo, hi = np.searchsorted(comp, [c, c + 1])
+                others = np.arange(lo, hi)
+                top = np.append(root[lo:hi], r)
+                if len(a):
+                    at = np.minimum(np.searchsorted(a, top), len(a) - 1)
+                    top = np.where(a[at] == top, b[at], top)
+                others = others[top[:-1] != top[-1]]
+                hit = others[one(v, o, len(comp) + i, others)] if len(others) else others
+                if len(hit):
+                    a, b = contract(np.append(a, root[hit]), np.append(b, np.full(len(hit), r)))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def collected(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> pa.Table | None:
     """The rows of a written table if they fit the broadcast limit, else None."""
     return None if df.count() * row_bytes > limit else df.toArrow()
@@ -243,14 +373,14 @@ def keep_masked(docs: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray]) -
         for batch in batches:
             yield batch.filter(pa.array(mask(batch), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs without the doc_ids in the written one-column table ids; null ids stay."""
     rows = collected(ids, 8, limit)
     if rows is None:
-        return docs.join(ids.toDF("doc_id"), "doc_id", "left_anti").select(docs.columns)
+        return docs.join(ids.toDF("doc_id"), "doc_id", "left_anti").select(columns_of(docs))
     drop = docs.sparkSession.sparkContext.broadcast(np.unique(rows.column(0).to_numpy()))
 
     def mask(batch: pa.RecordBatch) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import BROADCAST_BYTES, arrow_array, int_column, keep_masked, prepare, run_starts, written
+from quillstack.llm.common import BROADCAST_BYTES, arrow_array, int_column, keep_masked, mapped, prepare, run_starts, written
 
 SEED, SEED_RATE, MIN_SEEDS, THRESHOLD = 3, 3e-8, 8, 0.5
 MISMATCH = GAP = 0.5
@@ -75,7 +75,7 @@ def blocks(docs: DataFrame, items: DataFrame, block_bytes: int = BROADCAST_BYTES
         if not len(w.hash):
             continue
         vocabulary, word = np.unique(w.hash, return_inverse=True)
-        found = docs.select("text").mapInArrow(_counts(vocabulary), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        found = mapped(docs.select("text"), _counts(vocabulary), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         count = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
         total = max(1, count.pop(-1, 1))
         log_rate = np.log((np.array([count.get(i, 0) for i in range(len(vocabulary))]) + 0.5) / total)
@@ -169,7 +169,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block
                     if ok.any():
                         yield pa.RecordBatch.from_arrays([pa.array(int_column(part, "doc_id")[doc[ok]]), pa.array(sent.value.ids[item[ok]]), pa.array(score[ok].astype(float))], names=["doc_id", "item_id", "score"])
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.union(mapped(docs.select("doc_id", "text"), run, schema))
     return out.groupBy("doc_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 

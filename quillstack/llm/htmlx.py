@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstack.llm.common import arrow_array, prepare
+from quillstack.llm.common import arrow_array, mapped, prepare
 
 UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|object|select|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
@@ -373,4 +373,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text, n, kept = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([arrow_array(batch, "page_id").cast(pa.int64()), pa.array(text, pa.string()), pa.array(n, pa.int32()), pa.array(kept, pa.int32())], names=["page_id", "text", "n_blocks", "n_content"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, text string, n_blocks int, n_content int")
+    return mapped(pages.select("page_id", "html"), run, "page_id bigint, text string, n_blocks int, n_content int")

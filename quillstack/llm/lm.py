@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import arrow_array, int_column, prepare, written
+from quillstack.llm.common import arrow_array, int_column, mapped, prepare, written
 
 COVERAGE, VOCABULARY, CLASS_WORDS, HIDDEN = 0.9, 2048, 64, 24
 TRAIN_SHARE, ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 1.0, 3, 1000, 0.4
@@ -280,7 +280,10 @@ def count_words(docs: DataFrame, size: int = VOCABULARY, coverage: float = COVER
             seen = []
             for part in tv.chunks(batch, "text"):
                 w = tv.words(arrow_array(part, "text"))
-                spelled[:256] += np.bincount(w.data[tv.IS_WORD[w.data]], minlength=256)
+                inside = np.zeros(len(w.data) + 1, np.int8)
+                inside[w.start] = 1
+                inside[w.end] -= 1
+                spelled[:256] += np.bincount(w.data[np.cumsum(inside[:-1], dtype=np.int8) > 0], minlength=256)
                 spelled[256] += len(w.hash)
                 seen.append(np.unique(w.hash, return_counts=True))
             if seen:
@@ -290,7 +293,7 @@ def count_words(docs: DataFrame, size: int = VOCABULARY, coverage: float = COVER
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(257, 1, np.int32), np.int32(2))), pa.array(np.append(np.arange(257), 0)), pa.array(np.append(spelled, rows))], names=["kind", "key", "n"])
 
-    counts = written(docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = written(mapped(docs.select("text"), run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     spelled = np.zeros(257)
     rows = 0
     for r in counts.filter("kind > 0").collect():
@@ -356,8 +359,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, share: float = TRAIN_SHARE, rou
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, float(words))), pa.array([mine.flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["block", "weight", "part"])
 
         part = sample.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn)
-        trained = part.repartition(shards, F.xxhash64("doc_id", F.lit("shard"))).sortWithinPartitions("doc_id", "text").mapInArrow(run, "block int, weight double, part binary")
-        blocks = trained.repartition("block").mapInArrow(_averaged, "block int, weight double, part binary").toArrow().sort_by("block")
+        trained = mapped(part.repartition(shards, F.xxhash64("doc_id", F.lit("shard"))).sortWithinPartitions("doc_id", "text"), run, "block int, weight double, part binary")
+        blocks = mapped(trained.repartition("block"), _averaged, "block int, weight double, part binary").toArrow().sort_by("block")
         if blocks.num_rows:
             model = Model(model.size, flat=np.concatenate([np.frombuffer(x, np.float32) for x in blocks.column("part").to_pylist()]).copy())
     return model
@@ -390,4 +393,4 @@ def score(docs: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
             p = score_documents(model, ids, first) + spelling
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(n), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(p), pa.array(np.exp(np.minimum(-p / (n + 1), 700)))], names=["doc_id", "n_words", "n_unknown", "log_likelihood", "perplexity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_unknown bigint, log_likelihood double, perplexity double")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_words bigint, n_unknown bigint, log_likelihood double, perplexity double")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import arrow_array, prepare, written
+from quillstack.llm.common import arrow_array, mapped, prepare, written
 
 KEY = b"change-me"
 ROUNDS = 8
@@ -297,7 +297,7 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             rows = sorted(new)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string()), pa.array([keyed.of(k, v) for k, v in rows], pa.string())], names=["type", "entity", "surrogate"])
 
-    return docs.select("text").mapInArrow(run, "type string, entity string, surrogate string").distinct()
+    return mapped(docs.select("text"), run, "type string, entity string, surrogate string").distinct()
 
 
 def exceptions(table: DataFrame, key: bytes = KEY, most: int = MOST_EXCEPTIONS) -> dict[tuple[str, str], int]:
@@ -353,4 +353,4 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

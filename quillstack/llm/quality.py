@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import arrow_array, int_column, keep_masked, prepare
+from quillstack.llm.common import arrow_array, int_column, keep_masked, mapped, prepare
 
 #: Bound on the labelled documents that a model is fitted on.
 MAX_LABELLED = 6000
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     n_bad, n_rest = (sum(t == k for _, t in by_id.values()) for k in (1, 0))
     lexicon = np.zeros(0, np.uint64)
     if n_bad and n_rest:
-        counts = sample.mapInArrow(count, "key bigint, bad bigint, rest bigint").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("rest").alias("rest"))
+        counts = mapped(sample, count, "key bigint, bad bigint, rest bigint").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("rest").alias("rest"))
         bad, rest, share = F.col("bad"), F.col("rest"), n_bad / (n_bad + n_rest)
         part = lambda n, p: F.when(n > 0, n * F.log(n / ((bad + rest) * p))).otherwise(0.0)
         picked = counts.filter((bad / n_bad >= LEXICON_RATIO * (rest + 0.5) / n_rest) & (2 * (part(bad, share) + part(rest, 1 - share)) >= LEXICON_EVIDENCE))
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 stats = statistics(arrow_array(part, "text"), lex.value)
                 yield pa.RecordBatch.from_arrays([arrow_array(part, "doc_id").cast(pa.int64()), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    table = sample.mapInArrow(measure, "doc_id bigint, stats array<double>").toArrow().sort_by("doc_id")
+    table = mapped(sample, measure, "doc_id bigint, stats array<double>").toArrow().sort_by("doc_id")
     if not table.num_rows:
         return Model(lexicon, None, None)
     stats = np.array(table.column("stats").to_pylist())
@@ -239,7 +239,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 q, t, keep = model.value.scores(arrow_array(part, "text"))
                 yield pa.RecordBatch.from_arrays([arrow_array(part, "doc_id").cast(pa.int64()), pa.array(q), pa.array(t), pa.array(keep)], names=["doc_id", "score", "toxic_score", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, toxic_score double, keep boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, score double, toxic_score double, keep boolean")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import BROADCAST_BYTES, arrow_array, collected, grouped, int_column, list_rows, matching, prepare, run_starts, written
+from quillstack.llm.common import BROADCAST_BYTES, arrow_array, collected, grouped, int_column, list_rows, mapped, matching, prepare, run_starts, written
 
 MIN_WORDS, GRAM = 50, 25
 
@@ -231,9 +231,9 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit:
     """(doc_id, start, end): word spans that an earlier document holds, possibly overlapping."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    prints = docs.mapInArrow(_fingerprints(min_words, gram), "f bigint, doc_id bigint, pos int")
-    shared = prints.repartition("f").sortWithinPartitions("f", "doc_id").mapInArrow(_shared, "shard bigint, doc_id bigint, pos int")
-    regions = written(shared.repartition("doc_id").sortWithinPartitions("doc_id", "shard", "pos").mapInArrow(_regions(min_words, gram), "doc_id bigint, shard bigint, low int, high int"))
+    prints = mapped(docs, _fingerprints(min_words, gram), "f bigint, doc_id bigint, pos int")
+    shared = mapped(prints.repartition("f").sortWithinPartitions("f", "doc_id"), _shared, "shard bigint, doc_id bigint, pos int")
+    regions = written(mapped(shared.repartition("doc_id").sortWithinPartitions("doc_id", "shard", "pos"), _regions(min_words, gram), "doc_id bigint, shard bigint, low int, high int"))
     schema, names = "shard bigint, doc_id bigint, start int, words binary", ("shard", "low", "high")
     rows = collected(regions, 24, limit)
     if rows is not None:  # few regions: the texts stay where they are
@@ -246,7 +246,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit:
             row, at = matching(all_ids, int_column(part, "doc_id"))
             return row, *(x[at] for x in columns)
 
-        pieces = docs.mapInArrow(_stretches(min_words, from_broadcast), schema)
+        pieces = mapped(docs, _stretches(min_words, from_broadcast), schema)
     else:
         per_doc = regions.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("regions")).withColumnRenamed("doc_id", "__id")
 
@@ -254,8 +254,8 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit:
             row, flat = list_rows(arrow_array(part, "regions"))
             return row, *(flat.field(i).to_numpy() for i in range(3))
 
-        pieces = docs.join(per_doc, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "regions").mapInArrow(_stretches(min_words, from_column), schema)
-    return pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(_matched(min_words), "doc_id bigint, start int, end int")
+        pieces = mapped(docs.join(per_doc, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "regions"), _stretches(min_words, from_column), schema)
+    return mapped(pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "start"), _matched(min_words), "doc_id bigint, start int, end int")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -273,14 +273,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit:
             row, at = matching(all_ids, int_column(batch, "doc_id"))
             return row, all_starts[at], all_ends[at]
 
-        return docs.mapInArrow(_removed(from_broadcast), schema)
+        return mapped(docs, _removed(from_broadcast), schema)
     cut = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cut")).withColumnRenamed("doc_id", "__id")
 
     def from_column(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, flat = list_rows(arrow_array(batch, "cut"))
         return row, flat.field(0).to_numpy(), flat.field(1).to_numpy()
 
-    return docs.join(cut, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "cut").mapInArrow(_removed(from_column), schema)
+    return mapped(docs.join(cut, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "cut"), _removed(from_column), schema)
 
 
 def _removed(spans_of):

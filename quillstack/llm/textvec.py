@@ -1,14 +1,18 @@
 """Vectorised text primitives over Arrow string columns.
 
-A chunk of documents is one byte buffer plus offsets. Words are maximal runs
-of ASCII letters and digits or any non-ASCII character, after lower-casing; the
-empty text and null have none. Hashes are polynomial prefix sums modulo 2**64
-with an odd base, so the hash of any byte or word span is two look-ups.
+A chunk of documents is one byte buffer plus offsets. Words are maximal runs of
+Unicode letters, digits and combining marks, after lower-casing; of scripts that
+are written without spaces (Han, Kana, Thai, Lao, Burmese, Khmer) each letter with
+its marks is a word. Dashes, quotes and spaces of any kind part words. The empty
+text and null have none. Hashes are polynomial prefix sums modulo 2**64 with an odd
+base, so the hash of any byte or word span is two look-ups.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +26,26 @@ _powers = {"p": np.ones(1, U64), "q": np.ones(1, U64)}
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[ord("a") : ord("z") + 1] = IS_WORD[ord("A") : ord("Z") + 1] = IS_WORD[ord("0") : ord("9") + 1] = True
-IS_WORD[128:] = True
+
+#: Classes of code points: no part of a word, part of a run, a word of its own, a mark that joins what stands before it.
+NONE, RUN, OWN, MARK = range(4)
+#: Beyond it no letters are assigned.
+LAST_LETTER = 0x323AF
+#: Scripts without spaces.
+_OWN = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, LAST_LETTER))
+
+
+@lru_cache
+def classes() -> np.ndarray:
+    """The class of every code point; variation selectors are no letters' marks."""
+    kind = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(LAST_LETTER + 1)).encode(), np.uint8)
+    out = np.where((kind == ord("L")) | (kind == ord("N")), RUN, np.where(kind == ord("M"), MARK, NONE)).astype(np.uint8)
+    for low, high in _OWN:
+        part = out[low : high + 1]
+        part[part == RUN] = OWN
+    out[0xFE00:0xFE10] = NONE
+    out[[0xA7CB, 0xA7DC]] = RUN  # newer letters, which Arrow lower-cases
+    return np.append(out, np.uint8(NONE))
 
 #: Bytes of text handled at once: temporaries stay in cache and far below a worker's memory.
 CHUNK_BYTES = 1 << 20
@@ -102,11 +125,38 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def _wide(data: np.ndarray, inside: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Marks the bytes of words outside ASCII in inside; the places, besides edges, where one word ends and another may begin."""
+    lead = np.flatnonzero(data >= 0xC0)
+    size = np.where(data[lead] >= 0xF0, 4, np.where(data[lead] >= 0xE0, 3, 2))
+    code = data[lead].astype(np.int32) & np.array([0, 0, 31, 15, 7])[size]
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[lead[more] + k] & 63
+    kind = classes()[np.minimum(code, LAST_LETTER + 1)]
+    for k in range(4):
+        inside[lead[(size > k) & (kind != NONE)] + k] = True
+    own = kind == OWN
+    if not own.any():
+        return lead[:0]
+    after = lead[own] + size[own]
+    begin, end = lead[kind == MARK], (lead + size)[kind == MARK]
+    if len(begin):  # the word goes on to the end of the run of marks behind its letter
+        last = np.flatnonzero(np.append((begin[1:] != end[:-1]) | np.isin(end[:-1], edges), True))
+        run_end = end[last[np.searchsorted(last, np.arange(len(begin)))]]
+        at = np.minimum(np.searchsorted(begin, after), len(begin) - 1)
+        after = np.where((begin[at] == after) & ~np.isin(after, edges), run_end[at], after)
+    return np.concatenate([lead[own], after])
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = IS_WORD[data]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    if len(data) and data.max() >= 128:
+        own = _wide(data, inside, edges)
+        edges = np.concatenate([edges, own[(own > 0) & (own < len(data))]])
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
     before[edges] = False
     start = np.flatnonzero(inside & ~before)
     after = np.zeros(len(data), bool)
@@ -122,8 +172,8 @@ def words(text: pa.Array) -> Words:
 
 
 def original_bounds(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets, word starts and ends of the text as it is. Lower-casing maps word
-    characters to word characters, so the n-th word here is the n-th of words()."""
+    """Bytes, offsets, word starts and ends of the text as it is. Lower-casing keeps the class
+    of every character, so the n-th word here is the n-th of words()."""
     data, offsets = buffers(text)
     return (data, offsets, *word_bounds(data, offsets))
 
