@@ -2,10 +2,11 @@
 
 The vocabulary is counted over all documents: the most frequent words that make up
 COVERAGE of all words' occurrences, at least VOCABULARY of them, and all words as
-frequent as the last; it grows with the corpus. Other words are an unknown word,
-spelled by the corpus's byte frequencies. Words fall into classes by frequency rank,
-some square root of the vocabulary wide, and a word's probability is that of its class times
-that of the word within its class, both read from the state of a gated recurrent unit.
+frequent as the last; it grows with the corpus. Other words are predicted as an unknown
+word and spelled by the corpus's byte pairs; read, they are told apart by a hash into as
+many inputs as there are words. Words fall into classes that hold equal shares of the
+square roots of the frequencies, and a word's probability is that of its class times that
+of the word within its class, both read from the state of a gated recurrent unit.
 
 Training is data parallel. All documents, each once, are split by hash of doc_id
 into rounds and shards whose number grows with the corpus, as far as a shard has
@@ -15,10 +16,11 @@ window within a document, and the results are averaged, weighted by words. Scori
 runs every document whole, window after window with the state carried, to the end
 symbol; its log-likelihood is complete.
 
-Defined cases: null and empty texts have the probability of the end symbol alone; rows
-are scored one by one, so repeated rows repeat; null doc_ids are scored but not trained
-on; an empty table gives no rows; with no document to train on the model is
-the frequencies that it starts from.
+Defined cases: null and empty texts have the probability of the end symbol alone; very
+long texts are scored and trained on whole; rows are scored one by one, so repeated rows
+repeat; null doc_ids are scored but not trained on; words tied in frequency are ranked by
+hash; an empty table gives no rows; with no document to train on the model is the
+frequencies that it starts from; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,61 +33,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import arrow_array, int_column, mapped, prepare, written
+from quillstack.llm.common import arrow_array, drop, mapped, prepare, written
 
-COVERAGE, VOCABULARY, CLASS_WORDS, HIDDEN = 0.9, 2048, 64, 24
-TRAIN_SHARE, ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 1.0, 3, 1000, 0.4
-STREAMS, WINDOW, RATE, CLIP = 64, 16, 0.08, 5.0
+COVERAGE, VOCABULARY, HIDDEN = 0.7, 2048, 16
+ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 3, 1000, 1.0
+STREAMS, WINDOW, RATE, CLIP = 256, 16, 0.08, 5.0
 SCORE_STREAMS, SCORE_WORDS = 512, 1 << 21
 BLOCKS = 64
+#: exp() of it fits float32 many times over; no trained logit comes near it.
+MOST_LOGIT = np.float32(60)
 
 
 class Vocabulary(NamedTuple):
     words: np.ndarray  # sorted hashes
-    ids: np.ndarray  # rank of each, from 0
-    counts: np.ndarray  # by rank, then of the unknown word and of the end
-    spelling: np.ndarray  # log-probability by byte; at 256 that of a word's end
+    ids: np.ndarray  # rank of each by count, the unknown word and the end ranked with them
+    counts: np.ndarray  # by rank
+    unknown: int
+    end: int
+    spelling: np.ndarray  # log-probability of a byte after another; row 256 before the first, column 256 the word's end
 
     @property
     def size(self) -> int:
         return len(self.counts)
 
-    def encode(self, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, and the log-probability of each unknown word's spelling (0 for known ones)."""
-        unknown = self.size - 2
+    @property
+    def inputs(self) -> int:
+        """Symbols that may be read: words by rank, unknown words by hash, the start of a document last."""
+        return 2 * self.size + 1
+
+    def encode(self, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words as read and as predicted, and the log-probability of each unknown word's spelling (0 for known ones)."""
         at = np.minimum(np.searchsorted(self.words, w.hash), max(len(self.words) - 1, 0))
         known = self.words[at] == w.hash if len(self.words) else np.zeros(len(w.hash), bool)
-        ids = np.where(known, self.ids[at] if len(self.ids) else unknown, unknown)
-        total = np.append(0.0, np.cumsum(self.spelling[w.data]))
-        return ids, np.where(known, 0.0, total[w.end] - total[w.start] + self.spelling[256])
+        ids = np.where(known, self.ids[at] if len(self.ids) else self.unknown, self.unknown).astype(np.int32)
+        read = np.where(known, ids, self.size + (w.hash % np.uint64(self.size)).astype(np.int32))
+        new = np.flatnonzero(~known)
+        start, size = w.start[new], (w.end - w.start)[new]
+        step = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+        byte = w.data[step].astype(np.int64)
+        before = np.append(256, byte[:-1])
+        before[np.cumsum(size) - size] = 256
+        total = np.append(0.0, np.cumsum(self.spelling[before, byte]))
+        out = np.zeros(len(w.hash))
+        ends = np.cumsum(size)
+        out[new] = total[ends] - total[ends - size] + self.spelling[byte[ends - 1], 256]
+        return read.astype(np.int32), ids, out
+
+
+def class_edges(counts: np.ndarray) -> np.ndarray:
+    """First rank of each class, and the end. Classes hold equal shares of the square roots of the
+    frequencies, as many as that sum comes to: so the fewest outputs are computed for a word."""
+    root = np.sqrt((counts + 0.5) / (counts + 0.5).sum())
+    n = max(1, int(np.ceil(root.sum())))
+    return np.unique(np.append(np.searchsorted(np.cumsum(root), np.arange(n) * root.sum() / n, "right"), len(counts)))
 
 
 class Model:
-    """Parameters in one flat float32 vector, seen as named arrays."""
+    """Parameters in one flat float32 vector, seen as named arrays. size words are predicted, inputs symbols read."""
 
-    def __init__(self, size: int, hidden: int = HIDDEN, flat: np.ndarray | None = None):
-        self.size, self.hidden = size, hidden
-        self.width = min(max(CLASS_WORDS, int(np.sqrt(size))), size)
-        self.classes = -(-size // self.width)
-        shapes = {"x": (size + 1, 3 * hidden), "r": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "u": (self.classes, hidden, self.width), "ub": (self.classes, self.width)}
+    def __init__(self, edges: np.ndarray, inputs: int, hidden: int = HIDDEN, flat: np.ndarray | None = None):
+        self.edges, self.inputs, self.hidden, self.size, self.classes = edges, inputs, hidden, int(edges[-1]), len(edges) - 1
+        self.class_of = np.repeat(np.arange(self.classes, dtype=np.int16 if self.classes < 1 << 15 else np.int64), np.diff(edges))
+        shapes = {"x": (inputs, 3 * hidden), "r": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "u": (self.size, hidden), "ub": (self.size,)}
         ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
         self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat
         for (name, shape), end in zip(shapes.items(), ends, strict=True):
             setattr(self, name, self.flat[end - int(np.prod(shape)) : end].reshape(shape))
 
+    def like(self, flat: np.ndarray) -> Model:
+        return Model(self.edges, self.inputs, self.hidden, flat)
+
     @staticmethod
-    def initial(counts: np.ndarray, hidden: int = HIDDEN) -> Model:
+    def initial(counts: np.ndarray, inputs: int, hidden: int = HIDDEN) -> Model:
         """Small random weights; the biases are the logarithms of the frequencies."""
-        m, rng = Model(len(counts), hidden), np.random.default_rng(20)
+        m, rng = Model(class_edges(counts), inputs, hidden), np.random.default_rng(20)
         for name, scale in (("x", 0.1), ("r", 0.2), ("c", 0.1), ("u", 0.1)):
             a = getattr(m, name)
             a[...] = rng.normal(0, scale, a.shape)
-        p = np.zeros(m.classes * m.width)
-        p[: len(counts)] = counts + 0.5
-        p = p.reshape(m.classes, m.width)
-        m.cb[...] = np.log(p.sum(1) / p.sum())
-        with np.errstate(divide="ignore"):
-            m.ub[...] = np.maximum(np.log(p / p.sum(1, keepdims=True)), -1e4)
+        p = (counts + 0.5) / (counts + 0.5).sum()
+        mass = np.add.reduceat(p, m.edges[:-1])
+        m.cb[...] = np.log(mass)
+        m.ub[...] = np.log(p / mass[m.class_of])
         return m
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -93,49 +121,54 @@ class Model:
         k = self.hidden
         a, s = self.x[x], h @ self.r
         g = a[:, : 2 * k] + s[:, : 2 * k]
-        np.negative(g, out=g)
-        np.exp(np.minimum(g, 30, out=g), out=g)
-        g += 1
-        np.reciprocal(g, out=g)
+        g *= np.float32(0.5)
+        np.tanh(g, out=g)
+        g *= np.float32(0.5)
+        g += np.float32(0.5)
         z, r = g[:, :k], g[:, k:]
         n = np.tanh(a[:, 2 * k :] + r * s[:, 2 * k :])
         return n + z * (h - n), z, r, n, s[:, 2 * k :]
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probabilities of targets y; with grad, adds the gradients and returns that of h."""
-        cls, word = np.divmod(y, self.width)
-        logits = h @ self.c + self.cb
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
+        order = np.argsort(self.class_of[y], kind="stable")
+        h, y = h[order], y[order]
+        cls = self.class_of[y]
         rows = np.arange(len(y))
-        out = (logits[rows, cls] - np.log(total)).astype(np.float64)
+        e = h @ self.c
+        e += self.cb
+        np.exp(np.minimum(e, MOST_LOGIT, out=e), out=e)
+        total = e.sum(1)
+        share = e[rows, cls] / total
         dh = None
         if grad is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grad.c += h.T @ d
-            grad.cb += d.sum(0)
-            dh = d @ self.c.T
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            at = order[edge[k] : edge[k + 1]]
-            if not len(at):
-                continue
-            hk = h[at]
-            logits = hk @ self.u[k] + self.ub[k]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
+            e /= total[:, None]
+            e[rows, cls] -= 1
+            grad.c += h.T @ e
+            grad.cb += e.sum(0)
+            dh = e @ self.c.T
+        at = np.searchsorted(cls, np.arange(self.classes + 1))
+        for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.edges) > 1)):
+            s, t, low, high = at[k], at[k + 1], self.edges[k], self.edges[k + 1]
+            hk = h[s:t]
+            e = hk @ self.u[low:high].T
+            e += self.ub[low:high]
+            np.exp(np.minimum(e, MOST_LOGIT, out=e), out=e)
             total = e.sum(1)
-            rows = np.arange(len(at))
-            out[at] += logits[rows, word[at]] - np.log(total)
+            word = y[s:t] - low
+            share[s:t] *= e[rows[: t - s], word] / total
             if grad is not None:
-                d = e / total[:, None]
-                d[rows, word[at]] -= 1
-                grad.u[k] += hk.T @ d
-                grad.ub[k] += d.sum(0)
-                dh[at] += d @ self.u[k].T
+                e /= total[:, None]
+                e[rows[: t - s], word] -= 1
+                grad.u[low:high] += e.T @ hk
+                grad.ub[low:high] += e.sum(0)
+                dh[s:t] += e @ self.u[low:high]
+        out = np.empty(len(y))
+        out[order] = np.log(np.maximum(share, 1e-37))
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
 
@@ -155,94 +188,99 @@ def streams(first: np.ndarray, n_streams: int) -> tuple[list[list[int]], int]:
     return lanes, int(load.max())
 
 
-def laid_out(ids: np.ndarray, first: np.ndarray, size: int, n_streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and documents by (time, stream). The input before a document is size;
-    where a stream is over, the document is -1."""
+def laid_out(read: np.ndarray, ids: np.ndarray, first: np.ndarray, model: Model, end: int, n_streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and documents by (time, stream). The input before a document is the last of the
+    inputs; where a stream is over, the document is -1."""
     lanes, longest = streams(first, n_streams)
-    x = np.full((longest, len(lanes)), size, np.int32)
-    y = np.zeros((longest, len(lanes)), np.int32)
-    doc = np.full((longest, len(lanes)), -1, np.int32)
+    x = np.full((len(lanes), longest), model.inputs - 1, np.int32)
+    y = np.zeros((len(lanes), longest), np.int32)
+    doc = np.full((len(lanes), longest), -1, np.int32)
+    size = np.diff(first)
     for k, lane in enumerate(lanes):
-        t = 0
-        for d in lane:
-            w = ids[first[d] : first[d + 1]]
-            n = len(w)
-            x[t + 1 : t + n + 1, k] = w
-            y[t : t + n, k] = w
-            y[t + n, k] = size - 1
-            doc[t : t + n + 1, k] = d
-            t += n + 1
-    return x, y, doc
-
-
-def score_documents(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        n = size[lane]
+        t = np.append(0, np.cumsum(n + 1))
+        at = np.arange(n.sum()) + np.repeat(first[lane] - np.cumsum(n) + n, n)
+        to = np.arange(n.sum()) + np.repeat(np.arange(len(lane)), n)
+        x[k, to + 1] = read[at]
+        x[k, t[:-1]] = model.inputs - 1
+        y[k, to] = ids[at]
+        y[k, t[1:] - 1] = end
+        doc[k, : t[-1]] = np.repeat(lane, n + 1)
+    return np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), np.ascontiguousarray(doc.T)
+
+
+def score_documents(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
     """Log-likelihood of every document, its end included."""
     n = len(first) - 1
     out = np.zeros(n)
     if not n:
         return out
-    x, y, doc = laid_out(ids, first, model.size, SCORE_STREAMS)
+    x, y, doc = laid_out(read, ids, first, model, end, SCORE_STREAMS)
     h = np.zeros((x.shape[1], model.hidden), np.float32)
-    window = max(1, (1 << 15) // x.shape[1])
+    window = max(1, (1 << 14) // x.shape[1])
     states = np.empty((window, *h.shape), np.float32)
     for lo in range(0, len(x), window):
         hi = min(len(x), lo + window)
         for t in range(lo, hi):
-            h[x[t] == model.size] = 0
+            h[x[t] == model.inputs - 1] = 0
             h = model.step(h, x[t])[0]
             states[t - lo] = h
-        live = doc[lo:hi].ravel() >= 0
+        live = np.flatnonzero(doc[lo:hi].ravel() >= 0)
         p, _ = model.output(states[: hi - lo].reshape(-1, model.hidden)[live], y[lo:hi].ravel()[live])
         out += np.bincount(doc[lo:hi].ravel()[live], p, n)
     return out
 
 
-def train(model: Model, ids: np.ndarray, first: np.ndarray, rate: float = RATE) -> float:
+def train(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, end: int, rate: float = RATE) -> float:
     """One pass of truncated backpropagation with Adagrad; returns the mean log-probability on the way."""
-    x, y, doc = laid_out(ids, first, model.size, STREAMS)
+    x, y, doc = laid_out(read, ids, first, model, end, STREAMS)
     b, k = x.shape[1], model.hidden
     h = np.zeros((b, k), np.float32)
-    grad, memory = Model(model.size, k), Model(model.size, k, np.full(len(model.flat), 0.05, np.float32))
+    grad, memory = model.like(np.zeros_like(model.flat)), model.like(np.full(len(model.flat), 0.05, np.float32))
     total, seen = 0.0, 0
     for lo in range(0, len(x), WINDOW):
         hi = min(len(x), lo + WINDOW)
         tape = []
         for t in range(lo, hi):
-            start = x[t] == model.size
-            h = np.where(start[:, None], np.float32(0), h)
+            start = np.flatnonzero(x[t] == model.inputs - 1)
+            if len(start):
+                h = h.copy()
+                h[start] = 0
             new, z, r, n, s = model.step(h, x[t])
             tape.append((h, z, r, n, s, start))
             h = new
             tape[-1] = (*tape[-1], new)
-        live = doc[lo:hi] >= 0
-        states = np.stack([s[-1] for s in tape])
-        p, dh = model.output(states[live], y[lo:hi][live], grad)
+        live = np.flatnonzero(doc[lo:hi].ravel() >= 0)
+        p, dh = model.output(np.concatenate([s[-1] for s in tape])[live], y[lo:hi].ravel()[live], grad)
         total, seen = total + p.sum(), seen + len(p)
-        d_out = np.zeros(states.shape, np.float32)
+        d_out = np.zeros(((hi - lo) * b, k), np.float32)
         d_out[live] = dh
+        d_out = d_out.reshape(hi - lo, b, k)
         carry = np.zeros((b, k), np.float32)
         d_in = np.empty((hi - lo, b, 3 * k), np.float32)
         d_state = np.empty((hi - lo, b, 3 * k), np.float32)
         for t in range(hi - lo - 1, -1, -1):
             before, z, r, n, s, start, _ = tape[t]
             d = d_out[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            d_in[t, :, :k] = d * (before - n) * z * (1 - z)
+            dz = d * z
+            dn = (d - dz) * (1 - n * n)
+            d_in[t, :, :k] = dz * (before - n) * (1 - z)
             d_in[t, :, k : 2 * k] = dn * s * r * (1 - r)
             d_in[t, :, 2 * k :] = dn
             d_state[t] = d_in[t]
             d_state[t, :, 2 * k :] *= r
-            carry = d * z + d_state[t] @ model.r.T
+            carry = dz + d_state[t] @ model.r.T
             carry[start] = 0
         flat_in = d_in.reshape(-1, 3 * k)
         where = x[lo:hi].ravel()
         order = np.argsort(where, kind="stable")
-        at = np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1]))
-        words = where[order][at]
+        sorted_ = where[order]
+        at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        words = sorted_[at]
         grad.x[words] = np.add.reduceat(flat_in[order], at, axis=0)
         grad.r += np.concatenate([s[0] for s in tape]).T @ d_state.reshape(-1, 3 * k)
-        classes = np.unique(y[lo:hi][live] // model.width)
-        descend(model, grad, memory, {"x": words, "r": slice(None), "c": slice(None), "cb": slice(None), "u": classes, "ub": classes}, 32 / max(1, len(p)), rate)
+        every = slice(None)
+        descend(model, grad, memory, {"x": words, "r": every, "c": every, "cb": every, "u": every, "ub": every}, 32 / max(1, len(p)), rate)
     return total / max(1, seen)
 
 
@@ -269,32 +307,46 @@ def least_count(n: np.ndarray, words: np.ndarray, coverage: float, size: int) ->
     return int(n[np.argmax(enough)]) if enough.any() else 1
 
 
+def bigrams(w: tv.Words) -> np.ndarray:
+    """Counts of (byte before, byte) in words: row 256 is before the first byte, column 256 the end of the word."""
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.start] = 1
+    inside[w.end] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    byte = w.data[inside].astype(np.int32)
+    before = np.append(np.int32(256), byte[:-1])
+    size = w.end - w.start
+    last = np.cumsum(size)
+    before[last - size] = 256
+    table = np.bincount(before * 257 + byte, minlength=257 * 257).reshape(257, 257)
+    table[:, 256] += np.bincount(byte[last - 1], minlength=257)
+    return table
+
+
 def count_words(docs: DataFrame, size: int = VOCABULARY, coverage: float = COVERAGE) -> Vocabulary:
     """The vocabulary and the byte frequencies, counted over all documents."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, rows = np.zeros(257, np.int64), 0
+        spelled, rows = np.zeros((257, 257), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             seen = []
             for part in tv.chunks(batch, "text"):
                 w = tv.words(arrow_array(part, "text"))
-                inside = np.zeros(len(w.data) + 1, np.int8)
-                inside[w.start] = 1
-                inside[w.end] -= 1
-                spelled[:256] += np.bincount(w.data[np.cumsum(inside[:-1], dtype=np.int8) > 0], minlength=256)
-                spelled[256] += len(w.hash)
-                seen.append(np.unique(w.hash, return_counts=True))
+                if len(w.hash):
+                    spelled += bigrams(w)
+                    seen.append(np.unique(w.hash, return_counts=True))
             if seen:
                 key, n = (np.concatenate(x) for x in zip(*seen, strict=True))
                 key, at = np.unique(key, return_inverse=True)
                 n = np.bincount(at, n, len(key)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(257, 1, np.int32), np.int32(2))), pa.array(np.append(np.arange(257), 0)), pa.array(np.append(spelled, rows))], names=["kind", "key", "n"])
+        some = np.flatnonzero(spelled.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(some), 1, np.int32), np.int32(2))), pa.array(np.append(some, 0)), pa.array(np.append(spelled.ravel()[some], rows))], names=["kind", "key", "n"])
 
     counts = written(mapped(docs.select("text"), run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    spelled = np.zeros(257)
+    spelled = np.zeros(257 * 257)
     rows = 0
     for r in counts.filter("kind > 0").collect():
         if r["kind"] == 1:
@@ -303,29 +355,37 @@ def count_words(docs: DataFrame, size: int = VOCABULARY, coverage: float = COVER
             rows = r["n"]
     frequent = counts.filter("kind = 0").groupBy("n").count().toArrow()
     least = least_count(frequent.column("n").to_numpy().astype(float), frequent.column("count").to_numpy().astype(float), coverage, size)
-    top = counts.filter((F.col("kind") == 0) & (F.col("n") >= least)).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
-    key, n = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(float)
-    order = np.argsort(key)
-    spelled = np.log((spelled + 0.5) / (spelled.sum() + 0.5 * 257))
+    top = counts.filter((F.col("kind") == 0) & (F.col("n") >= least)).toArrow()
     total = float(counts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0)
-    return Vocabulary(key[order], order, np.append(n, [total - n.sum(), rows]), spelled)
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, most: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, word ids, first word of each document, spelling) of about most words at once."""
+    drop(counts)
+    key, n = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(float)
+    every = np.append(n, [total - n.sum(), rows])
+    order = np.lexsort((np.append(key, np.array([0, 1], np.uint64)), -every))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    by_key = np.argsort(key)
+    spelled = spelled.reshape(257, 257)
+    # a pair never seen is as likely as its second byte, at the weight of one occurrence
+    alone = (spelled.sum(0) + 0.5) / (spelled.sum() + 0.5 * 257)
+    spelled = np.log((spelled + alone) / (spelled.sum(1, keepdims=True) + 1))
+    return Vocabulary(key[by_key], rank[by_key], every[order], int(rank[-2]), int(rank[-1]), spelled)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, most: int) -> Iterator[tuple]:
+    """(doc_ids, words as read, as predicted, first word of each document, its spelling, its unknown words) of about most words at once."""
     got: list[tuple] = []
     have = 0
 
     def joined() -> tuple:
-        sizes = np.concatenate([np.diff(f) for _, _, f, _ in got])
-        return pa.concat_arrays([g[0] for g in got]), np.concatenate([g[1] for g in got]), np.append(0, np.cumsum(sizes)), np.concatenate([g[3] for g in got])
+        ids, read, y, size, spelling, unknown = zip(*got, strict=True)
+        return pa.concat_arrays(ids), np.concatenate(read), np.concatenate(y), np.append(0, np.cumsum(np.concatenate(size))), np.concatenate(spelling), np.concatenate(unknown)
 
     for batch in batches:
         for part in tv.chunks(batch, "text"):
             w = tv.words(arrow_array(part, "text"))
-            ids, spelling = vocabulary.encode(w)
-            total = np.append(0.0, np.cumsum(spelling))
-            got.append((arrow_array(part, "doc_id").cast(pa.int64()), ids.astype(np.int32), w.first, total[w.first[1:]] - total[w.first[:-1]]))
+            read, ids, spelling = vocabulary.encode(w)
+            sums = [np.append(0, np.cumsum(v)) for v in (spelling, ids == vocabulary.unknown)]
+            got.append((arrow_array(part, "doc_id").cast(pa.int64()), read, ids, np.diff(w.first), *(v[w.first[1:]] - v[w.first[:-1]] for v in sums)))
             have += len(ids) + part.num_rows
             if have >= most:
                 yield joined()
@@ -334,35 +394,41 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, most: in
         yield joined()
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, share: float = TRAIN_SHARE, rounds: int = ROUNDS, shard_documents: int = SHARD_DOCUMENTS) -> Model:
-    """Average of the shards' models, round after round."""
+def shards_of(vocabulary: Vocabulary, parameters: int, rounds: int, documents: int, shard_documents: int, words_a_parameter: float) -> int:
+    """As many shards a round as leave each of them enough documents, and words for the parameters that it sends."""
+    words = vocabulary.counts.sum() - vocabulary.counts[vocabulary.end]
+    return max(1, min(documents // (rounds * shard_documents), int(words / rounds / (words_a_parameter * parameters))))
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shard_documents: int = SHARD_DOCUMENTS, words_a_parameter: float = WORDS_A_PARAMETER) -> Model:
+    """Average of the shards' models, round after round; every document with an id is trained on in one round."""
     spark = docs.sparkSession
-    model = Model.initial(vocabulary.counts)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1_000_000))
-    sample = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (draw < int(share * 1_000_000)))
-    n = sample.select("doc_id").count()
+    model = Model.initial(vocabulary.counts, vocabulary.inputs)
+    some = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    n = some.select("doc_id").count()
     if not n:
         return model
     sent_vocabulary = spark.sparkContext.broadcast(vocabulary)
-    edges = np.linspace(0, len(model.flat), BLOCKS + 1).astype(int)
-    words_a_shard = WORDS_A_PARAMETER * len(model.flat)
-    shards = max(1, min(n // (rounds * shard_documents), int(share * vocabulary.counts[:-1].sum() / rounds / words_a_shard)))
+    cuts = np.linspace(0, len(model.flat), BLOCKS + 1).astype(int)
+    shards = shards_of(vocabulary, len(model.flat), rounds, n, shard_documents, words_a_parameter)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(model.flat)
+        sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            mine, words = Model(sent_vocabulary.value.size, flat=sent.value.copy()), 0
-            for _, ids, first, _ in _encoded(batches, sent_vocabulary.value, SCORE_WORDS):
-                train(mine, ids, first)
+            mine, words, v = sent.value.like(sent.value.flat.copy()), 0, sent_vocabulary.value
+            for _, read, ids, first, *_ in _encoded(batches, v, SCORE_WORDS):
+                train(mine, read, ids, first, v.end)
                 words += len(ids)
             if words:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, float(words))), pa.array([mine.flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["block", "weight", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, float(words))), pa.array([mine.flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["block", "weight", "part"])
 
-        part = sample.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn)
+        part = some.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn)
         trained = mapped(part.repartition(shards, F.xxhash64("doc_id", F.lit("shard"))).sortWithinPartitions("doc_id", "text"), run, "block int, weight double, part binary")
         blocks = mapped(trained.repartition("block"), _averaged, "block int, weight double, part binary").toArrow().sort_by("block")
         if blocks.num_rows:
-            model = Model(model.size, flat=np.concatenate([np.frombuffer(x, np.float32) for x in blocks.column("part").to_pylist()]).copy())
+            model = model.like(np.concatenate([np.frombuffer(x, np.float32) for x in blocks.column("part").to_pylist()]).copy())
+        sent.destroy()
+    sent_vocabulary.destroy()
     return model
 
 
@@ -378,19 +444,16 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([w for w, _ in total.values()]), pa.array([(s / w).astype(np.float32).tobytes() for w, s in total.values()], pa.binary())], names=["block", "weight", "part"])
 
 
-def score(docs: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_unknown, log_likelihood, perplexity) of every row."""
     vocabulary = count_words(docs)
-    model = fit(docs, vocabulary, share)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, model.flat))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, fit(docs, vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = sent.value
-        model = Model(vocabulary.size, flat=flat)
-        for doc_id, ids, first, spelling in _encoded(batches, vocabulary, SCORE_WORDS):
+        vocabulary, model = sent.value
+        for doc_id, read, ids, first, spelling, unknown in _encoded(batches, vocabulary, SCORE_WORDS):
             n = np.diff(first)
-            total = np.append(0, np.cumsum(ids == vocabulary.size - 2))
-            p = score_documents(model, ids, first) + spelling
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(n), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(p), pa.array(np.exp(np.minimum(-p / (n + 1), 700)))], names=["doc_id", "n_words", "n_unknown", "log_likelihood", "perplexity"])
+            p = score_documents(model, read, ids, first, vocabulary.end) + spelling
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(n), pa.array(unknown), pa.array(p), pa.array(np.exp(np.minimum(-p / (n + 1), 700)))], names=["doc_id", "n_words", "n_unknown", "log_likelihood", "perplexity"])
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_words bigint, n_unknown bigint, log_likelihood double, perplexity double")

@@ -128,16 +128,16 @@ def test_bucket_links_beyond_the_paired_size(spark):
 
 def test_lm_gradients():
     rng = np.random.default_rng(4)
-    counts = rng.integers(1, 50, 9).astype(float)
-    model = lm.Model.initial(counts, hidden=3)
-    model.flat = model.flat.astype(np.float64)
-    model = lm.Model(9, 3, model.flat)
-    h, y = rng.normal(size=(6, 3)), rng.integers(0, 9, 6)
-    grad = lm.Model(9, 3, np.zeros_like(model.flat))
+    counts = np.sort(rng.integers(1, 90, 19))[::-1].astype(float)
+    model = lm.Model.initial(counts, 39, hidden=3)
+    assert model.classes > 2 and np.diff(model.edges).max() > 2
+    model = model.like(model.flat.astype(np.float64))
+    h, y = rng.normal(size=(12, 3)), rng.integers(0, 19, 12)
+    grad = model.like(np.zeros_like(model.flat))
     _, dh = model.output(h, y, grad)
     loss = lambda: -model.output(h, y)[0].sum()
-    for array, d in ((model.c, grad.c), (model.u, grad.u), (model.ub, grad.ub), (h, dh)):
-        for _ in range(5):
+    for array, d in ((model.c, grad.c), (model.cb, grad.cb), (model.u, grad.u), (model.ub, grad.ub), (h, dh)):
+        for _ in range(8):
             i = tuple(rng.integers(0, n) for n in array.shape)
             keep, eps = array[i], 1e-5
             array[i] = keep + eps
@@ -147,33 +147,56 @@ def test_lm_gradients():
             array[i] = keep
 
 
+def test_lm_recurrent_gradients(monkeypatch):
+    """The step that one window takes, against numeric derivatives of its loss through time."""
+    rng = np.random.default_rng(40)
+    ids, first = rng.integers(0, 8, 30).astype(np.int32), np.array([0, 12, 12, 30])
+    model = lm.Model.initial(np.ones(10), 21, 4)
+    model = model.like(model.flat.astype(np.float64))
+    monkeypatch.setattr(lm, "WINDOW", 100)
+    taken = {}
+    monkeypatch.setattr(lm, "descend", lambda m, grad, memory, rows, scale, rate: taken.update(x=grad.x.copy(), r=grad.r.copy()))
+    lm.train(model, ids + 10, ids, first, 9)
+    loss = lambda: -lm.score_documents(model, ids + 10, ids, first, 9).sum()
+    for name in ("x", "r"):
+        array = getattr(model, name)
+        for i in [*zip(*np.nonzero(taken[name]), strict=True)][::11]:
+            keep, eps = array[i], 1e-2
+            array[i] = keep + eps
+            up = loss()
+            array[i] = keep - eps
+            assert abs((up - loss()) / (2 * eps) - taken[name][i]) < 2e-3
+            array[i] = keep
+
+
 def test_lm_window_gradient_follows_the_loss():
     """A small step of one window's update lowers the loss of that window."""
     rng = np.random.default_rng(5)
-    ids, first = rng.integers(0, 8, 30), np.array([0, 12, 12, 30])
-    model = lm.Model.initial(np.ones(10), 4)
-    before = lm.score_documents(model, ids, first).sum()
+    ids, first = rng.integers(0, 8, 30).astype(np.int32), np.array([0, 12, 12, 30])
+    model = lm.Model.initial(np.ones(10), 21, 4)
+    before = lm.score_documents(model, ids, ids, first, 9).sum()
     for _ in range(40):
-        lm.train(model, ids, first, rate=0.05)
-    assert lm.score_documents(model, ids, first).sum() > before + 5
+        lm.train(model, ids, ids, first, 9, rate=0.05)
+    assert lm.score_documents(model, ids, ids, first, 9).sum() > before + 5
+
+
+def slow_score(model, read, ws, end):
+    h, x, total = np.zeros((1, model.hidden), np.float32), model.inputs - 1, 0.0
+    for r, y in [*zip(read, ws, strict=True), (0, end)]:
+        h = model.step(h, np.array([x]))[0]
+        total += model.output(h, np.array([y]))[0][0]
+        x = r
+    return total
 
 
 def test_lm_scores_whole_documents_in_any_layout():
     rng = np.random.default_rng(6)
     first = np.append(0, np.cumsum(rng.integers(0, 40, 25)))
-    ids = rng.integers(0, 18, first[-1])
-    model = lm.Model.initial(rng.integers(1, 9, 20).astype(float), 5)
-
-    def slow(ws):
-        h, x, total = np.zeros((1, 5), np.float32), model.size, 0.0
-        for y in [*ws, model.size - 1]:
-            h = model.step(h, np.array([x]))[0]
-            total += model.output(h, np.array([y]))[0][0]
-            x = y
-        return total
-
-    expected = [slow(ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-    assert np.allclose(lm.score_documents(model, ids, first), expected, atol=1e-3)
+    ids = rng.integers(0, 18, first[-1]).astype(np.int32)
+    read = ids + rng.integers(0, 2, len(ids)).astype(np.int32) * 20
+    model = lm.Model.initial(np.sort(rng.integers(1, 90, 20))[::-1].astype(float), 41, 5)
+    expected = [slow_score(model, read[a:b], ids[a:b], 19) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert np.allclose(lm.score_documents(model, read, ids, first, 19), expected, atol=1e-3)
     h = np.zeros((1, 5), np.float32)
     assert abs(np.exp([model.output(h, np.array([y]))[0][0] for y in range(20)]).sum() - 1) < 1e-4
 
@@ -182,33 +205,66 @@ def test_lm_query(spark):
     rng = random.Random(7)
     good = [" ".join(f"k{(i + j) % 7}" for j in range(60)) for i in range(60)]
     docs = table(spark, [*good, words(rng, 60), *ODD], source=None).union(table(spark, ["k1"], [None]))
-    rows = {r.doc_id: r for r in lm.score(docs, share=1.0).collect()}
+    rows = {r.doc_id: r for r in lm.score(docs).collect()}
     assert len(rows) == 72 and rows[None].n_words == 1
     assert rows[0].perplexity < 4 < rows[60].perplexity
     assert rows[61].log_likelihood == pytest.approx(rows[62].log_likelihood) and rows[61].n_words == 0
     assert lm.score(table(spark, [])).count() == 0
-    assert lm.score(table(spark, ["a b"]), share=0.0).first().n_words == 2
+    assert lm.score(table(spark, ["a b"], [None])).first().n_words == 2
 
 
 def test_lm_vocabulary_grows_with_the_corpus(spark):
     sizes = []
     for n in (3000, 9000):
         docs = [" ".join(f"v{k}x" for k in range(d, n, 10)) for d in range(10)]
-        v = lm.count_words(table(spark, docs * 2 + [f"rare{i}" for i in range(n // 10)]))
-        assert v.counts[-2] <= (1 - lm.COVERAGE) * v.counts[:-1].sum() and len(v.words) == v.size - 2
+        v = lm.count_words(table(spark, docs * 2 + [f"rare{i}" for i in range(n // 2)]))
+        assert v.counts[v.unknown] <= (1 - lm.COVERAGE) * (v.counts.sum() - v.counts[v.end]) and len(v.words) == v.size - 2
         sizes.append(len(v.words))
     assert sizes == [3000, 9000]
     assert lm.least_count(np.array([1.0, 5.0, 2.0]), np.array([10.0, 4.0, 10.0]), 0.5, 3) == 2
     assert lm.least_count(np.array([1.0, 5.0]), np.array([10.0, 4.0]), 0.5, 99) == 1
 
 
-def test_lm_trains_on_all_documents(spark):
+def test_lm_spelling_is_a_distribution(spark):
+    rng = random.Random(71)
+    texts = [words(rng, 200, 90_000) + " " + words(rng, 100, 5) for _ in range(12)]
+    v = lm.count_words(table(spark, texts), size=10, coverage=0.0)
+    assert np.allclose(np.exp(v.spelling).sum(1), 1) and v.counts[v.unknown] > 2000 and v.unknown == 0
+    w = tv.words(pa.array(texts))
+    read, ids, spelled = v.encode(w)
+    pairs, new = Counter(), [t for text in texts for t in tokens(text)]
+    for t in new:
+        pairs.update(zip([256, *t.encode()], [*t.encode(), 256], strict=True))
+    before = Counter(a for a, _ in pairs.elements())
+    alone = Counter(b for _, b in pairs.elements())
+    p = lambda a, b: np.log((pairs[a, b] + (alone[b] + 0.5) / (sum(alone.values()) + 128.5)) / (before[a] + 1))
+    for t, i, r, x in zip(new, ids, read, spelled, strict=True):
+        assert x == (pytest.approx(sum(p(a, b) for a, b in zip([256, *t.encode()], [*t.encode(), 256], strict=True))) if i == v.unknown else 0)
+        assert (r == i) if i != v.unknown else v.size <= r < 2 * v.size
+    assert len({r for r, i in zip(read, ids, strict=True) if i == v.unknown}) > v.size // 2
+
+
+def test_lm_trains_on_all_documents_in_shards(spark):
+    """fit() against the same rounds and shards run one after the other."""
     rng = random.Random(70)
-    docs = table(spark, [words(rng, 30) for _ in range(40)])
-    vocabulary = lm.count_words(docs)
-    all_of_them = lm.fit(docs, vocabulary, share=1.0).flat
-    assert np.allclose(lm.fit(docs, vocabulary).flat, all_of_them)
-    assert not np.allclose(lm.fit(docs, vocabulary, share=0.1).flat, all_of_them)
+    texts = [words(rng, rng.randrange(1, 40)) for _ in range(60)]
+    docs = table(spark, texts)
+    v = lm.count_words(docs)
+    shards = lm.shards_of(v, len(lm.Model.initial(v.counts, v.inputs).flat), 2, 60, 10, 0.0001)
+    place = {r.doc_id: (r.t, r.s) for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'round'), 2) t", f"pmod(hash(xxhash64(doc_id, 'shard')), {shards}) s").collect()}
+    model = lm.Model.initial(v.counts, v.inputs)
+    assert shards == 3
+    for turn in (0, 1):
+        parts = []
+        for shard in range(shards):
+            w = tv.words(pa.array([t for i, t in enumerate(texts) if place[i] == (turn, shard)]))
+            if len(w.hash):
+                mine, (read, ids, _) = model.like(model.flat.copy()), v.encode(w)
+                lm.train(mine, read, ids, w.first, v.end)
+                parts.append((len(ids), mine.flat.astype(float)))
+        model = model.like((sum(n * f for n, f in parts) / sum(n for n, _ in parts)).astype(np.float32))
+    got = lm.fit(docs, v, 2, 10, 0.0001).flat
+    assert np.allclose(got, model.flat, atol=1e-5) and not np.allclose(got, lm.Model.initial(v.counts, v.inputs).flat, atol=1e-3)
 
 
 # ---------------------------------------------------------------- 2: decontamination
