@@ -1,15 +1,22 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page is cut at block-level tags into a flat list of text blocks; scripts, styles,
-comments and other unseen elements are left out. A block's features are its word
+titles, comments and other unseen elements are left out. A block's features are its word
 count and link density and those of the blocks before and after it. A classification
 tree, grown by Gini impurity on the labelled blocks in LABELLED, tells content from
 boilerplate; the text of a page is its content blocks, one a line.
 
+The page is read once, left to right, in time proportional to its length whatever it
+holds. What isn't closed hides nothing but itself: an unseen element without an end tag
+is read as if the tag weren't there, an unclosed script or style ends where the body
+begins, an unclosed comment or quote at the next ">", and a tag without any at the end.
+
 Defined cases: null html gives null text and no blocks; an empty page, or one without
-words, gives empty text; unclosed tags and comments reach to the end; text outside any
-tag is a block; a "<" that begins no tag is text. The rows of a page keep their order,
-repeated pages give repeated rows.
+words, gives empty text; a page that is a single block is content; very long pages are
+read whole; text outside any tag is a block; a "<" that begins no tag is text. Of equal
+splits the tree takes the first. The rows keep their order, repeated pages give repeated
+rows, null ids stay null; an empty table gives no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +33,13 @@ from pyspark.sql import DataFrame
 
 from quillstack.llm.common import arrow_array, mapped, prepare
 
-UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|iframe|object|select|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+#: Elements that hold text other than markup, and elements that hold markup which isn't seen.
+RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
+UNSEEN = frozenset("noscript template svg object select datalist".split())
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|(!--)|[!?])")
+#: The rest of a tag. Quotes count after an equals sign only.
+REST = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)[^>=]*+)*+>")
+BODY = re.compile(r"<(?:/head|body)\b", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SPACE = re.compile(r"\s+")
 
@@ -39,10 +50,64 @@ class Blocks(NamedTuple):
     linked: list[int]
 
 
+class Scanner:
+    """Where the parts of a page end. What was once sought in vain up to the end isn't sought again."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.missing = page, True, set()
+
+    def tag(self, at: int) -> int:
+        """The place behind the tag whose name ends at at."""
+        if self.quotes:
+            if m := REST.match(self.page, at):
+                return m.end()
+            self.quotes = False
+        return self.page.find(">", at) + 1 or len(self.page)
+
+    def comment(self, at: int) -> int:
+        for end in ("-->", ">"):
+            if end not in self.missing:
+                if (k := self.page.find(end, at)) >= 0:
+                    return k + len(end)
+                self.missing.add(end)
+        return len(self.page)
+
+    def element(self, name: str, at: int) -> int:
+        """The place of the end tag of an element that isn't read, or at if it is to be read for lack of one."""
+        if name not in self.missing:
+            if name in UNSEEN and "/" + name not in self.missing:
+                depth = 1
+                for m in _tags(name).finditer(self.page, at):
+                    depth += -1 if m[1] else 1
+                    if not depth:
+                        return m.start()
+                self.missing.add("/" + name)  # they don't nest: each ends at the next end tag
+            if m := _end_tag(name).search(self.page, at):
+                return m.start()
+            self.missing.add(name)
+        if name in ("script", "style"):
+            if "body" not in self.missing:
+                if m := BODY.search(self.page, at):
+                    return m.start()
+                self.missing.add("body")
+            return len(self.page)
+        return at
+
+
+@lru_cache
+def _end_tag(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}\b", re.I)
+
+
+@lru_cache
+def _tags(name: str) -> re.Pattern[str]:
+    return re.compile(rf"<(/?){name}\b", re.I)
+
+
 def blocks(page: str) -> Blocks:
     """The flat text blocks of a page, with their words and the words inside links."""
-    page = UNSEEN.sub(" ", page)
     out, parts, words, linked, depth, at = Blocks([], [], []), [], 0, 0, 0, 0
+    scanner = Scanner(page)
 
     def close() -> None:
         nonlocal words, linked
@@ -64,11 +129,20 @@ def blocks(page: str) -> Blocks:
             words += n
             linked += n if depth else 0
 
-    for m in TAG.finditer(page):
+    while m := OPENING.search(page, at):
         add(page[at : m.start()])
-        at, name = m.end(), m[2].lower()
-        if name == "a":
-            depth = max(0, depth - 1) if m[1] else depth + (m[0][-2:] != "/>")
+        if m[2] is None:
+            parts.append(" ")
+            at = scanner.comment(m.end()) if m[3] else scanner.tag(m.end())
+            continue
+        at, name = scanner.tag(m.end()), m[2].lower()
+        empty = page[at - 2 : at] == "/>"
+        if name in RAW or name in UNSEEN:
+            parts.append(" ")
+            if not m[1] and not (empty and name == "svg"):
+                at = scanner.element(name, at)
+        elif name == "a":
+            depth = max(0, depth - 1) if m[1] else depth + (not empty)
         elif name == "br":
             parts.append(" ")
         elif name not in INLINE:
@@ -132,6 +206,14 @@ def classify(node: Node, x: np.ndarray) -> np.ndarray:
 
 #: Labelled blocks: FEATURES (links in hundredths), then 1 for content.
 LABELLED = """
+1 0 0 0 0 0 1
+3 0 0 0 0 0 1
+8 0 0 0 0 0 1
+15 0 0 0 0 0 1
+40 0 0 0 0 0 1
+120 0 0 0 0 0 1
+400 0 0 0 0 0 1
+60 8 0 0 0 0 1
 1 100 0 0 1 100 0
 1 100 1 100 1 100 0
 1 100 1 100 4 0 0

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -389,7 +391,97 @@ def test_pii_query(spark):
 def test_blocks():
     page = "<head><title>t</title></head>lead<script>var a='<p>x</p>'</script><nav><a href='1>2'>one two</a> three</nav><p>a &amp; b<br>c <b>d<p>1 < 2<!-- gone <p> --></p><svg>s"
     b = htmlx.blocks(page)
-    assert b.text == ["lead", "one two three", "a & b c d", "1 < 2"] and b.words == [1, 3, 5, 3] and b.linked == [0, 2, 0, 0]
+    assert b.text == ["lead", "one two three", "a & b c d", "1 < 2", "s"] and b.words == [1, 3, 5, 3, 1] and b.linked == [0, 2, 0, 0, 0]
+
+
+class Flat(HTMLParser):
+    """Flat blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.run, self.text, self.words, self.linked, self.depth, self.unseen = [], "", "", 0, 0, 0, 0
+
+    def flush(self):
+        n = len(self.run.split())
+        self.text, self.run, self.words, self.linked = self.text + self.run, "", self.words + n, self.linked + n * (self.depth > 0)
+
+    def cut(self):
+        if text := " ".join(self.text.split()):
+            self.blocks.append((text, self.words, self.linked))
+        self.text, self.words, self.linked, self.depth = "", 0, 0, 0
+
+    def handle_data(self, data):
+        if not self.unseen:
+            self.run += data
+
+    def handle_comment(self, data):
+        self.flush()
+        self.text += " "
+
+    handle_decl = handle_pi = handle_comment
+
+    def handle_starttag(self, tag, attrs, step=1):
+        self.flush()
+        if tag in htmlx.RAW or tag in htmlx.UNSEEN:
+            self.unseen += step
+            self.text += " "
+        elif self.unseen:
+            pass
+        elif tag == "a":
+            self.depth = max(0, self.depth + step)
+        elif tag == "br":
+            self.text += " "
+        elif tag not in htmlx.INLINE:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        self.handle_starttag(tag, (), -1)
+
+
+def flat(page):
+    parser = Flat()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    parser.cut()
+    return parser.blocks
+
+
+def walk(node, row):
+    while node.feature >= 0:
+        node = node.below if row[node.feature] <= node.limit else node.above
+    return node.content
+
+
+def extracted_slowly(page):
+    b = flat(page)
+    share = [(w, a / max(w, 1)) for _, w, a in b]
+    padded = [(0, 0), *share, (0, 0)]
+    keep = [walk(htmlx.tree(), (*padded[i + 1], *padded[i], *padded[i + 2])) for i in range(len(b))]
+    return "\n".join(t for (t, *_), k in zip(b, keep, strict=True) if k), len(b), sum(keep)
+
+
+def test_blocks_match_the_standard_parser():
+    rng = random.Random(90)
+    piece = lambda: rng.choice(["one two ", "a &lt; b &amp; c ", "<b>x</b> ", "<br>", "<br/>", "<a href='u>v' id=q>link text</a> ", '<img alt="a > b">', "<!-- c <p> -->", "<script>if (a<b) '<p>'</script>", "<style>p{}</style>", "<svg><svg><p>n</p></svg>t</svg>", "<noscript><p>n</p></noscript>", "caf\u00e9 \u6f22\u5b57 ", "\n"])
+    for _ in range(300):
+        page = "<!doctype html><html><head><title>t</title><meta charset=u></head><body>" + "".join(f"<{t}>" + "".join(piece() for _ in range(rng.randrange(5))) + f"</{t}>" for t in (rng.choice(["p", "div", "li", "h2"]) for _ in range(rng.randrange(6))))
+        b = htmlx.blocks(page)
+        assert [*zip(b.text, b.words, b.linked, strict=True)] == flat(page), page
+
+
+def test_nothing_unclosed_hides_a_page():
+    text = "word " * 60
+    for page in ("<html><head><title>T</title><body><p>{}</p></body></html>", "<head><title>T<body><p>{}", "<select><option>o<p>{}", "<p>{}</p><select>", "<noscript><p>{}", "<!-- never closed ><p>{}", "<style>p {{}} </head><body><p>{}", "<p title=\"x>{}</p>", "<textarea><p>{}</p>", "<p>{}", "{}"):
+        assert text.strip() in htmlx.extracted(page.format(text), htmlx.tree())[0], page
+    assert htmlx.extracted("<p>One short paragraph.</p>", htmlx.tree())[0] == "One short paragraph."
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in ("<p", "<", '<a x=">" ', "<!--", "<script>", "<svg>", "<svg><svg></svg>", "<select>", "<title>", '<a href="', "<a =", "<a ='", "&amp", "<!", "</p ", "<template></select>"):
+        began = time.process_time()
+        htmlx.extracted(unit * (1_000_000 // len(unit)), htmlx.tree())
+        assert time.process_time() - began < 3, unit
 
 
 def test_tree_is_the_best_split():
@@ -409,6 +501,7 @@ def test_extraction_on_pages(spark):
     kept = wanted = right = 0
     html = {r.page_id: r.html for r in pages.collect()}
     for r in htmlx.extract(pages).collect():
+        assert (r.text, r.n_blocks, r.n_content) == extracted_slowly(html[r.page_id])
         article = re.search("<article.*</article>", html[r.page_id], re.S)[0]
         got, good = Counter(r.text.split()), Counter(" ".join(htmlx.blocks(article).text).split())
         kept, wanted, right = kept + got.total(), wanted + good.total(), right + (got & good).total()
@@ -416,10 +509,10 @@ def test_extraction_on_pages(spark):
 
 
 def test_extraction_cases(spark):
-    html = [None, "", "<p>", "plain text without tags", "<p" * 2000, "<div>" * 3000 + "x", "<a href=\"unclosed>text"]
+    html = [None, "", "<p>", "plain text without tags", "<p" * 2000, "<div>" * 3000 + "x", "<a href=\"unclosed>text", "x " * 300_000, "<p>z" * 50_000]
     df = spark.createDataFrame([(i, h, "t") for i, h in enumerate(html)] * 2, "page_id bigint, html string, text string")
     rows = htmlx.extract(df).collect()
-    assert len(rows) == 14 and {r.page_id: r.text for r in rows}[0] is None and {r.page_id: r.n_blocks for r in rows}[1] == 0
+    assert len(rows) == 18 and {r.page_id: r.text for r in rows}[0] is None and {r.page_id: r.n_blocks for r in rows}[1] == 0
     assert htmlx.extract(df.limit(0)).count() == 0
 
 
