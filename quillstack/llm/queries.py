@@ -23,7 +23,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(_t(spark, sf_dir, "documents")).select("doc_id", "text")
+    """The key is a secret of the session; these tables are invented, so without one they get a public key."""
+    key = spark.conf.get("spark.quillstack.pii.key", "for invented tables only")
+    return pii.replace_entities(_t(spark, sf_dir, "documents"), key.encode()).select("doc_id", "text")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -361,28 +361,112 @@ def test_surrogates_keep_type_and_shape():
     assert ips[0].startswith("10.") and int(ips[1].split(".")[0]) in range(224, 240)
     people = [b for *_, k, b in new if k == "person"]
     assert [pii.GENDER[p.split()[0]] for p in people] == [("m", "latin"), ("f", "latin"), ("f", "cyrillic"), ("f", "greek"), ("m", "latin")]
+    assert {p.split()[1] for p in people}.isdisjoint(pii.GENDER)
     assert people[0] == people[4] and out.split("MR")[0].count("@") == 2 and re.search(r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+ \(", out)
     assert pii.replaced(TEXT, pii.Surrogates(b"other")) != out
 
 
+def test_names_are_found_and_stay_the_same_person():
+    s = pii.Surrogates(b"k")
+    text = "Wei Zhang, Priya Patel, Fatima Ali and Grace Hopper met 张伟 and 王芳女士. My name is Xanthippe Quux. Hans van der Berg wrote to Dr. Meyer-Lund. Please mark Down the date. Later Hopper and HOPPER agreed with Mrs. Hopper; hopper did not. Reed Reed."
+    got = [text[a:b] for a, b, *_ in pii.found(text)]
+    assert got == ["Wei Zhang", "Priya Patel", "Fatima Ali", "Grace Hopper", "张伟", "王芳", "Xanthippe Quux", "Hans van der Berg", "Meyer-Lund", "Hopper", "HOPPER", "Hopper"]
+    out = pii.replaced(text, s)
+    new = s.of("person", "grace hopper").split()[1]
+    assert out.count(new.capitalize()) == 3 and new.upper() in out and "hopper did not. Reed Reed." in out and "mark Down the date" in out
+    assert " van der " in out and re.search(r"Dr\. [A-Z][a-z]+-[A-Z][a-z]+\.", out)
+    numbers = "call 030 1234567, 13800138000 or 01 23 45 67 89 at 12:30:45; 2001:db8::8a2e:370:7334; 4007276767425962 is no card, 2023-05 1234567 no phone"
+    assert [(k, numbers[a:b]) for a, b, k, _ in pii.found(numbers)] == [("phone", "030 1234567"), ("phone", "13800138000"), ("phone", "01 23 45 67 89"), ("ip6", "2001:db8::8a2e:370:7334")]
+    assert [k for *_, k, _ in pii.found(pii.replaced(numbers, s))] == ["phone", "phone", "phone", "ip6"]
+
+
+def test_hostile_texts_take_linear_time():
+    for unit in ("a.", "a@", "@", "@a.", "A ", "Aa ", "John Smith ", "1", "1 ", "+1 ", "(", "::", "f:", "token ", "token=", "AB12 ", "Mr. ", "J. ", "van de ", "name: A ", "1.1.", "12-", "张"):
+        began = time.process_time()
+        pii.found(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 4, unit
+
+
+def planted(rng, n):
+    """Texts with entities whose places are known: (text, [(start, end, type, what it is)])."""
+    people = [f"{a} {b}" for a in ("James", "Maria", "Wei", "Priya") for b in ("Smith", "Okonkwo", "Quux", "Lindqvist")]
+
+    def number(k):
+        body = f"4{k:014d}"
+        return body + str(pii._luhn(body))
+
+    kinds = {
+        "person": lambda: rng.choice(people), "email": lambda: f"user{rng.randrange(30)}@mail{rng.randrange(3)}.example.org", "phone": lambda: f"+1 (555) 010-{rng.randrange(40):04d}", "card": lambda: number(rng.randrange(30)),
+        "ip": lambda: f"81.7.{rng.randrange(3)}.{rng.randrange(9)}", "ssn": lambda: f"123-45-{1000 + rng.randrange(40)}", "hex": lambda: "token = " + f"{rng.randrange(40):x}".rjust(20, "a"),
+    }
+    out = []
+    for _ in range(n):
+        text, marks = "", []
+        for _ in range(rng.randrange(6)):
+            text += words(rng, rng.randrange(1, 9)) + ", "
+            kind = rng.choice([*kinds])
+            value = kinds[kind]()
+            start = len(text) + (8 if kind == "hex" else 0)
+            text += value
+            marks.append((start, len(text), kind, text[start:].lower()))
+            text += " "
+        out.append((text + words(rng, 5), marks))
+    return out
+
+
+@pytest.mark.parametrize("limit", [common.BROADCAST_BYTES, 0])
+def test_surrogates_against_planted_entities(spark, limit):
+    """What was planted is replaced, all else is kept letter for letter; equal for equal, different for different, no original comes back."""
+    rng = random.Random(72)
+    rows = planted(rng, 150)
+    out = {r.key: r for r in pii.replace_entities(table(spark, [t for t, _ in rows], [None, *range(1, 149), 1]).withColumn("tweaks", F.lit(3)), b"secret", limit).collect()}
+    mapping = {}
+    for n, (text, marks) in enumerate(rows):
+        new, at, shift = out[n].text, 0, 0
+        for start, end, kind, value in marks:
+            assert new[at + shift : start + shift] == text[at:start]
+            shape = {"person": "[A-Z][a-z]+ [A-Z][a-z]+", "ip": r"\d+(?:\.\d+){3}", "email": r"[a-z]{4}\d+@[a-z]{4}\d\.[a-z]{7}\.org", "hex": "[0-9a-f]{20}"}.get(kind) or re.sub(r"\d", r"\\d", re.escape(value))
+            tail = re.match(shape, new[start + shift :])[0]
+            assert mapping.setdefault((kind, value), tail.lower()) == tail.lower()
+            at, shift = end, shift + len(tail) - (end - start)
+        assert new[at + shift :] == text[at:] and out[n].n_chars == len(new) and out[n].tweaks == 3
+    assert len(set(mapping.values())) == len(mapping) > 100
+    assert set(mapping.values()).isdisjoint(v for _, v in mapping)
+
+
 def test_collisions_are_drawn_again(spark):
-    s = pii.Surrogates()
-    a = "1234567812345678"
-    rows = [("card", a, s.of("card", a)), ("card", s.of("card", a), s.of("card", s.of("card", a))), ("card", "9999888877776666", s.of("card", "9999888877776666"))]
-    tweaks = pii.exceptions(spark.createDataFrame(rows, "type string, entity string, surrogate string"))
-    keyed = pii.Surrogates(tweaks=tweaks)
+    s = pii.Surrogates(b"k")
+    a = "4111111111111111"
+    rows = [("card", v, s.of("card", v), "16") for v in (a, s.of("card", a), "5500000000000004")]
+    tweaks = {(r.type, r.entity): r.tweak for r in pii.exceptions(spark.createDataFrame(rows, pii.TABLE), b"k").collect()}
+    keyed = pii.Surrogates(b"k", tweaks)
     got = [keyed.of("card", r[1]) for r in rows]
     assert tweaks and len(set(got)) == 3 and not set(got) & {r[1] for r in rows}
 
 
+def test_distinctness_is_never_given_up(spark):
+    """Names of which every short one is taken grow; numbers of which every one is taken keep the plain permutation."""
+    s = pii.Surrogates(b"k")
+    short = [("name", c + v) for c in pii.CLASSES[1] for v in pii.CLASSES[0]]
+    full = [("phone", f"1|{n}") for n in range(20, 100)]
+    rows = [(k, v, s.of(k, v), pii.domain(k, v)) for k, v in [*short, *full, ("phone", "1|2345678")]]
+    tweaks = {(r.type, r.entity): r.tweak for r in pii.exceptions(spark.createDataFrame(rows, pii.TABLE), b"k").collect()}
+    keyed = pii.Surrogates(b"k", tweaks)
+    names, numbers = [keyed.of(*x) for x in short], [keyed.of(*x) for x in full]
+    assert len(set(names)) == len(names) and set(names).isdisjoint(v for _, v in short)
+    assert sorted(numbers) == sorted(v for _, v in full) and not any(k == "phone" for k, _ in tweaks)
+
+
 def test_pii_query(spark):
     texts = [TEXT, *ODD, TEXT, "call 743-555-3824 now", "nothing here"]
     docs = table(spark, texts, [*range(len(texts) - 1), None])
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, b"k")
     rows = sorted(out.collect(), key=lambda r: r.key)
     assert out.columns == docs.columns and rows[0].text == rows[11].text != TEXT and [r.text for r in rows[1:11]] == ODD and rows[13].text == "nothing here"
     assert rows[0].n_chars == len(rows[0].text) and not [v for *_, v in pii.found(TEXT) if v in rows[0].text]
-    assert pii.replace_entities(table(spark, [])).count() == 0
+    assert pii.replace_entities(table(spark, []), b"k").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_entities(docs, b"")
 
 
 # ---------------------------------------------------------------- 4: HTML
