@@ -12,8 +12,12 @@ Tokens are runs of characters other than white space. Target weights default to
 tokens ** temperature over sources; the largest budget is the most for which no
 source has too few tokens for its weight, and the others are fractions of it.
 
-Null text has no tokens. A null source is a source of its own. A null doc_id hashes
-as the empty string. Sources without tokens, or without a weight, are left out.
+Defined cases: null and empty text have no tokens, very long ones all that they have.
+A null source is a source of its own. A null doc_id hashes as the empty string. Rows
+with the same doc_id tie in hash and enter together. Sources without tokens, or without
+a weight, are left out. An empty table gives none. Other columns, whatever their names,
+are untouched. Sources are taken to be few enough to list on the driver; so many that
+their thresholds pass the broadcast bound are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from quillstack.llm.common import prepare, written
+from quillstack.llm.common import BROADCAST_BYTES, columns_of, drop, fresh, prepare, written
 
 TEMPERATURE = 0.7
 FRACTIONS = (0.25, 0.5, 1.0)
@@ -57,40 +62,49 @@ def thresholds(rows: DataFrame, weights: dict[str | None, float] | None = None,
         return []
     most = min(total[s] / g for s, g in goal.items())
     budgets = [(s, k, f * most * g if f * most * g < total[s] * (1 - 1e-12) else float(total[s])) for s, g in goal.items() for k, f in enumerate(sorted(fractions))]
-    b = F.broadcast(spark.createDataFrame(budgets, "b_source string, tier int, budget double"))
+    b = _small(spark.createDataFrame(budgets, "b_source string, tier int, budget double"), len(budgets))
     run = F.sum("n").over(W.partitionBy("source").orderBy("bucket"))
     full = hist.select("source", "bucket", (run - F.col("n")).alias("before"), run.alias("upto"))
     edge = full.join(b, F.col("source").eqNullSafe(F.col("b_source"))).filter("budget < upto and budget >= before")
-    edge = F.broadcast(edge.select(F.col("b_source"), "tier", "budget", "bucket", "before"))
+    edge = _small(edge.select(F.col("b_source"), "tier", "budget", "bucket", "before"), len(budgets))
     inside = rows.withColumn("r_bucket", bucket).join(edge, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("r_bucket") == F.col("bucket")))
     upto = F.col("before") + F.sum("n_tokens").over(W.partitionBy("b_source", "tier").orderBy("h").rangeBetween(W.unboundedPreceding, W.currentRow))
     last = inside.select("b_source", "tier", "bucket", "budget", "h", upto.alias("upto")).groupBy("b_source", "tier", "bucket").agg(F.max(F.when(F.col("upto") <= F.col("budget"), F.col("h"))).alias("h"))
     found = {(r[0], r[1]): r[3] if r[3] is not None else (r[2] << shift) - 1 for r in last.collect()}
+    drop(hist)
     return [(s, k, x, found.get((s, k), (1 << HASH_BITS) - 1)) for s, k, x in budgets]
 
 
-def _with_tier(df: DataFrame, cut: list[tuple[str | None, int, float, int]], h: Column) -> DataFrame:
-    """df's rows that a budget holds, with the first such tier as __mix_tier; one small row a source is broadcast."""
+def _small(df: DataFrame, n_rows: int) -> DataFrame:
+    """df for a broadcast, if its rows, one or a few a source, are as few as they usually are."""
+    return F.broadcast(df) if n_rows * 256 <= BROADCAST_BYTES else df
+
+
+def _with_tier(df: DataFrame, cut: list[tuple[str | None, int, float, int]], h: Column, tier: str) -> DataFrame:
+    """df's rows that a budget holds, with the first such budget in the column tier."""
     by: dict[str | None, list[int]] = {}
     for s, _, _, limit in sorted(cut, key=lambda c: c[1]):
         by.setdefault(s, []).append(limit)
-    table = F.broadcast(df.sparkSession.createDataFrame([(s, x) for s, x in by.items()], "__mix_source string, __mix_limits array<bigint>"))
-    joined = df.withColumn("__mix_h", h).join(table, df["source"].eqNullSafe(F.col("__mix_source")))
-    out = joined.filter(F.col("__mix_h") <= F.array_max("__mix_limits"))
-    return out.withColumn("__mix_tier", F.size(F.filter("__mix_limits", lambda x: x < F.col("__mix_h"))))
+    own, limits, hashed = (fresh(df, x) for x in ("mix_source", "mix_limits", "mix_hash"))
+    table = df.sparkSession.createDataFrame([(s, x) for s, x in by.items()], T.StructType([T.StructField(own, T.StringType()), T.StructField(limits, T.ArrayType(T.LongType()))]))
+    joined = df.withColumn(hashed, h).join(_small(table, len(by)), df["source"].eqNullSafe(F.col(own)))
+    out = joined.filter(F.col(hashed) <= F.array_max(limits))
+    return out.withColumn(tier, F.size(F.filter(limits, lambda x: x < F.col(hashed))))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, fractions: tuple[float, ...] = FRACTIONS, temperature: float = TEMPERATURE) -> DataFrame:
     """(doc_id, source, n_tokens, tier) of the documents within the largest budget."""
     rows = measured(docs)
     cut = thresholds(rows, weights, fractions, temperature)
-    return _with_tier(rows, cut, F.col("h")).select("doc_id", "source", "n_tokens", F.col("__mix_tier").alias("tier"))
+    return _with_tier(rows, cut, F.col("h"), "tier").select("doc_id", "source", "n_tokens", "tier")
 
 
 def select_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """The rows of docs within the largest budget, all columns as they were."""
-    cut = thresholds(measured(docs), weights, (1.0,), temperature)
-    return _with_tier(docs, cut, doc_hash(docs["doc_id"])).select(docs.columns)
+    rows = measured(docs)
+    cut = thresholds(rows, weights, (1.0,), temperature)
+    drop(rows)
+    return _with_tier(docs, cut, doc_hash(docs["doc_id"]), fresh(docs, "mix_tier")).select(columns_of(docs))
 
 
 def check_nested(cut: list[tuple[str | None, int, float, int]]) -> bool:

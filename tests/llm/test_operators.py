@@ -41,13 +41,13 @@ def tokens(text):
     return [w for w in [*out, current] if w]
 
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, comp double, key int, cut string, marks string, label int, __mix int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, comp double, key int, cut string, marks string, label int, __mix int, __mix_h int, mix_hash int, __gone string, __gone_id int, __id int"
 
 
 def table(spark, texts, ids=None, source="s"):
     """Documents with extra columns whose names the operators use themselves."""
     ids = range(len(texts)) if ids is None else ids
-    rows = [(i, t, "en", source, None if t is None else len(t), f"x{n}", 0.5, n, "c", "m", 1, 7) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows = [(i, t, "en", source, None if t is None else len(t), f"x{n}", 0.5, n, "c", "m", 1, 7, 1, 1, "g", 1, 1) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -933,7 +933,7 @@ def test_near_duplicates_against_brute_force(spark, most_bytes):
     assert in_groups == {i: r for i, r in got.items() if list(got.values()).count(r) > 1}
     assert set(got) == set(expected) and np.mean([got[i] == expected[i] for i in got]) > 0.95
     out = bagminhash.drop_near_duplicates(table(spark, texts, ids))
-    assert out.count() == 1 + sum(got[i] == i for i in ids if i is not None) and len(out.columns) == 12
+    assert out.count() == 1 + sum(got[i] == i for i in ids if i is not None) and len(out.columns) == 17
 
 
 def test_binary_items_past_two_gib():
@@ -1019,6 +1019,8 @@ def test_mixing_against_brute_force(spark, weights):
 
 def test_mixing_cases(spark):
     docs = table(spark, ODD)
+    kept = mixing.select_documents(docs)
+    assert kept.schema == docs.schema and {(r["__mix_h"], r["mix_hash"]) for r in kept.collect()} == {(1, 1)}
     assert mixing.mix(docs).count() == len(ODD)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.select_documents(docs.limit(0)).count() == 0
     assert mixing.mix(docs.filter("text is null")).count() == 0
