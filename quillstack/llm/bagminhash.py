@@ -27,18 +27,20 @@ names, pass untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import GROUP_BYTES, arrow_array, bucket_links, clustered, connected_components, drop, int_column, mapped, prepare, run_starts, without, written
+from quillstack.llm.common import GROUP_BYTES, HOT_ROWS, SAMPLED, Run, arrow_array, bucket_links, clustered, connected_components, drop, hot_keys, inside, int_column, mapped, prepare, run_starts, without, written
 
 SHINGLE, COMPONENTS, BAND_ROWS, THRESHOLD = 3, 160, 4, 0.5
 #: Within a bucket so large a share of the first components must agree in 2 bits: 0.625 is expected at similarity 0.5.
 SKETCH_COMPONENTS, SKETCH_AGREE = 128, 0.53
+#: Shingles of which similar documents have one in common.
+EARLY = 24
 #: A shingle's hash and weight share 64 bits.
 WEIGHT_BITS = np.uint64(24)
 
@@ -144,6 +146,17 @@ def overlap_pairs(value: np.ndarray, off: np.ndarray, a: np.ndarray, b: np.ndarr
     return np.array([overlap_one(value, off, i, np.array([j]), threshold)[0] for i, j in zip(a, b, strict=True)], bool)
 
 
+def early_shingles(value: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the EARLY shingles of each row whose first point in time, at the rate of their weight, is earliest.
+    Similar rows all but certainly have one in common."""
+    key, weight = unpacked(value)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    first = -np.log(_uniform(tv.mix(key + np.uint64(0x2545F4914F6CDD1D)))) / np.maximum(weight, 1)
+    order = np.lexsort((first, row))
+    use = order[np.arange(len(row)) - off[row] < EARLY]
+    return row[use], key[use]
+
+
 def _bag_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h1, h2) of each row with words: 128 bits of its multiset."""
     for batch in batches:
@@ -167,12 +180,10 @@ def equal_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, several
 
 
-def candidate_groups(docs: DataFrame, components: int = COMPONENTS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, comp) of documents that share a bucket and a sketch with another, transitively."""
-    sketched = min(components, SKETCH_COMPONENTS) // 32 * 32
-    names = [f"sketch{i}" for i in range(sketched // 32)]
+def _bands(components: int, band_rows: int, pick: Callable[[np.ndarray], np.ndarray], sketched: int) -> Run:
+    """For mapInArrow over documents: (key, id, sketches) of the bands whose keys are picked."""
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(_whole(batch), "text"):
                 doc, key, weight = bags(arrow_array(part, "text"))
@@ -180,12 +191,30 @@ def candidate_groups(docs: DataFrame, components: int = COMPONENTS, band_rows: i
                 sig = signatures(doc, key, weight, n, components)
                 some = np.bincount(doc, minlength=n) > 0
                 ids, sig = int_column(part, "doc_id")[some], sig[some]
-                keys, sk = band_keys(sig, band_rows), sketches(sig[:, :sketched])
+                keys = band_keys(sig, band_rows)
                 b = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, b)), *(pa.array(np.repeat(x, b).view(np.int64)) for x in sk.T)], names=["key", "id", *names])
+                keys = keys.reshape(-1).view(np.int64)
+                use = np.flatnonzero(pick(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(ids[use // b]), *(pa.array(x[use // b].view(np.int64)) for x in sketches(sig[:, :sketched]).T)], names=["key", "id", *_names(sketched)])
+
+    return run
+
 
-    rows = mapped(docs.select("doc_id", "text"), bands, "key bigint, id bigint, " + ", ".join(f"{x} bigint" for x in names))
-    return connected_components(rows.repartition("key").sortWithinPartitions("key", "id"), links=bucket_links(sketches_agree, tuple(names)))
+def _names(sketched: int) -> list[str]:
+    return [f"sketch{i}" for i in range(sketched // 32)]
+
+
+def candidate_groups(docs: DataFrame, components: int = COMPONENTS, band_rows: int = BAND_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, comp) of documents that share a bucket and a sketch with another, transitively. Documents that share
+    a bucket with very many are candidates without a look at their sketches."""
+    sketched = min(components, SKETCH_COMPONENTS) // 32 * 32
+    schema = "key bigint, id bigint, " + ", ".join(f"{x} bigint" for x in _names(sketched))
+    docs = docs.select("doc_id", "text")
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    hot = hot_keys(mapped(some, _bands(components, band_rows, lambda k: np.ones(len(k), bool), sketched), schema).select("key"), max(1, hot_rows // SAMPLED))
+    stars = mapped(docs, _bands(components, band_rows, lambda k: inside(hot, k), sketched), schema).select(F.col("key").alias("a"), F.col("id").alias("b")) if len(hot) else None
+    rows = mapped(docs, _bands(components, band_rows, lambda k: ~inside(hot, k), sketched), schema)
+    return connected_components(rows.repartition("key").sortWithinPartitions("key", "id"), links=bucket_links(sketches_agree, tuple(_names(sketched))), more=stars)
 
 
 def _packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +240,13 @@ def _merged_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BAG = "comp bigint, id bigint, data binary"
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that belongs to a class of near copies; a written table."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     copies, several = equal_documents(docs)
     rest = without(docs, copies.select("doc_id"))
-    comp = written(candidate_groups(rest).select(F.col("id").alias("__id"), "comp"))
+    comp = written(candidate_groups(rest, hot_rows=hot_rows).select(F.col("id").alias("__id"), "comp"))
     small = F.broadcast(comp) if comp.count() * 16 <= 32 << 20 else comp
     rows = rest.join(small, F.col("doc_id") == F.col("__id")).select("comp", F.col("__id").alias("id"), "text")
     bag = mapped(rows, _packed_bags, BAG)
@@ -225,7 +254,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, most_bytes: int = GROU
         bag = written(bag)
         twice = bag.join(several.select(F.col("doc_id").alias("id")), "id", "left_semi").groupBy("comp", "id").agg(F.collect_list("data").alias("data"))
         bag = bag.join(several.select(F.col("doc_id").alias("id")), "id", "left_anti").select("comp", "id", "data").union(mapped(twice, _merged_bags, BAG))
-    moved = written(clustered(bag, lambda v, off, a, b: overlap_pairs(v, off, a, b, threshold), lambda v, off, i, o: overlap_one(v, off, i, o, threshold), most_bytes))
+    moved = written(clustered(bag, lambda v, off, a, b: overlap_pairs(v, off, a, b, threshold), lambda v, off, i, o: overlap_one(v, off, i, o, threshold), early_shingles, most_bytes))
     again = copies.join(moved.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("kept_doc_id"))
     both = written(moved.select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id")).union(again))
     drop(copies, several, comp, moved)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from quillstack.llm.textvec import mix
 from quillstack.plans.store import drop, written
 
 #: Bytes that may be sent to every worker; beyond it operators take a shuffle instead.
@@ -145,15 +146,17 @@ def _contract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, links: Run | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, links: Run | None = None, more: DataFrame | None = None) -> DataFrame:
     """(id, comp) of every node of edges (a, b); comp is the least id it reaches. With links,
-    the edges are what links makes of the rows of edges, in the same Python worker.
+    the edges are what links makes of the rows of edges, in the same Python worker; more
+    are further edges.
 
     Each partition first contracts its own edges to stars. If what is left fits
     one task it is contracted there; otherwise large-star and small-star rounds
     run until nothing changes, each round written to the shared folder.
     """
-    edges = written(mapped(edges, lambda batches: _contract_batches(links(batches)), EDGE) if links else mapped(edges.select("a", "b"), _contract_batches, EDGE))
+    edges = mapped(edges, lambda batches: _contract_batches(links(batches)), EDGE) if links else mapped(edges.select("a", "b"), _contract_batches, EDGE)
+    edges = written(edges if more is None else edges.union(mapped(more, _contract_batches, EDGE)))
     if edges.count() <= one_task:
         out = mapped(edges.coalesce(1), _contract_batches, EDGE)
         return out.select(F.col("a").alias("id"), F.col("b").alias("comp"))
@@ -242,6 +245,7 @@ def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketche
 GROUP_BYTES = 16 << 20
 Pairs = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 One = Callable[[np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]
+Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def binary_items(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -278,15 +282,17 @@ def _labelled(pairs: Pairs, one: One) -> Run:
 LABELS = "comp bigint, id bigint, root bigint"
 
 
-def clustered(rows: DataFrame, pairs: Pairs, one: One, most_bytes: int = GROUP_BYTES) -> DataFrame:
+def clustered(rows: DataFrame, pairs: Pairs, one: One, keys: Keys, most_bytes: int = GROUP_BYTES) -> DataFrame:
     """(id, root) of the rows (comp, id, data) whose root, the least id of their class, is another:
     rows of a candidate group comp are of a class if links join them. pairs and one say which
-    rows are linked, from the int64 values of data.
+    rows are linked, from the int64 values of data; keys gives (row, key), as uint64, such that
+    linked rows have a key in common.
 
     A group of more than most_bytes is cut into chunks by hash of the id, and each task
     clusters a chunk. Of what is left of the group, one row for each class of a chunk, the
     same is done again. Links that may remain lie between rows one of which isn't in the
-    group's largest class: these travel, most_bytes at a time, to all rows of their group.
+    group's largest class: these travel, most_bytes at a time, to all rows of their group, where
+    they meet those with a common key.
     """
     spark = rows.sparkSession
     table = written(rows.select("comp", "id", "data"))
@@ -302,7 +308,7 @@ def clustered(rows: DataFrame, pairs: Pairs, one: One, most_bytes: int = GROUP_B
     mine = table.join(few, "comp", "left_semi").join(labels.select("id", "root"), "id")
     reps = written(mine.filter("id = root").select("comp", "id", "data"))
     if 2 * reps.count() <= mine.count():
-        up = written(clustered(reps, pairs, one, most_bytes))
+        up = written(clustered(reps, pairs, one, keys, most_bytes))
         labels = written(labels.join(up.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("comp", "id", F.coalesce("top", "root").alias("root")))
         mine = table.join(few, "comp", "left_semi").join(labels.select("id", "root"), "id")
     held = labels.join(few, "comp", "left_semi").groupBy("comp", "root").agg(F.count("*").alias("n"))
@@ -314,40 +320,82 @@ def clustered(rows: DataFrame, pairs: Pairs, one: One, most_bytes: int = GROUP_B
     for wave in range(waves):
         some = others.filter(F.pmod(F.xxhash64("id", F.lit("wave")), F.lit(waves)) == wave).toArrow().sort_by([("comp", "ascending"), ("id", "ascending")])
         if some.num_rows:
-            edges = edges.union(written(mapped(mine.select("comp", "id", "root", "data"), _across(spark.sparkContext.broadcast(some), one), EDGE)))
+            edges = edges.union(written(mapped(mine.select("comp", "id", "root", "data"), _across(spark.sparkContext.broadcast(some), pairs, keys), EDGE)))
     top = written(connected_components(edges))
     return labels.join(top.select(F.col("id").alias("root"), F.col("comp").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")).filter("id <> root")
 
 
-def _across(sent, one: One) -> Run:
+#: Pairs that are looked at together.
+PAIRS_AT_ONCE = 1 << 18
+
+
+def _across(sent, pairs: Pairs, keys: Keys) -> Run:
     """For mapInArrow over (comp, id, root, data): edges between the classes of rows and of linked rows that were sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = sent.value
         comp, root = there.column("comp").to_numpy(), there.column("root").to_numpy()
         value, off = binary_items(there.column("data"))
+        owner, key = keys(value, off)
+        key = mix(key ^ mix(comp[owner].view(np.uint64)))
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def top(x: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(a, x), len(a) - 1)
+            return np.where(a[at] == x, b[at], x) if len(a) else x
+
         for batch in batches:
-            own = pa.Table.from_batches([batch])
-            mine, more = binary_items(own.column("data"))
-            v, o = np.concatenate([value, mine]), np.append(off, more[1:] - more[0] + off[-1]) if len(more) > 1 else off
-            for i, (c, r) in enumerate(zip(int_column(batch, "comp"), int_column(batch, "root"), strict=True)):
-                lo, hi = np.searchsorted(comp, [c, c + 1])
-                others = np.arange(lo, hi)
-                top = np.append(root[lo:hi], r)
-                if len(a):
-                    at = np.minimum(np.searchsorted(a, top), len(a) - 1)
-                    top = np.where(a[at] == top, b[at], top)
-                others = others[top[:-1] != top[-1]]
-                hit = others[one(v, o, len(comp) + i, others)] if len(others) else others
-                if len(hit):
-                    a, b = contract(np.append(a, root[hit]), np.append(b, np.full(len(hit), r)))
+            mine, more = binary_items(pa.Table.from_batches([batch]).column("data"))
+            v, o = np.concatenate([value, mine]), np.append(off, more[1:] - more[0] + off[-1])
+            its_comp, its_root = int_column(batch, "comp"), int_column(batch, "root")
+            row, sought = keys(mine, more - more[0])
+            sought = mix(sought ^ mix(its_comp[row].view(np.uint64)))
+            lo = np.searchsorted(key, sought)
+            size = np.searchsorted(key, sought, "right") - lo
+            begin = np.append(0, np.cumsum(size))
+            s = 0
+            while s < len(row):  # rows of keys with about so many pairs
+                e = max(s + 1, int(np.searchsorted(begin, begin[s] + PAIRS_AT_ONCE, "right")) - 1)
+                n = size[s:e]
+                other = owner[np.arange(n.sum()) + np.repeat(lo[s:e] - np.cumsum(n) + n, n)]
+                pair = np.unique(np.repeat(row[s:e], n) * len(comp) + other)
+                i, j = pair // len(comp), pair % len(comp)
+                apart = (its_comp[i] == comp[j]) & (top(its_root[i]) != top(root[j]))
+                i, j = i[apart], j[apart]
+                hit = pairs(v, o, len(comp) + i, j)
+                if hit.any():
+                    a, b = contract(np.append(a, its_root[i[hit]]), np.append(b, root[j[hit]]))
+                s = e
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
+#: One in so many rows is counted to find keys that many rows have, and rows of a bucket beyond which its key is such.
+SAMPLED, HOT_ROWS = 64, 1 << 16
+
+
+def hot_keys(keys: DataFrame, least: int, limit: int = BROADCAST_BYTES) -> np.ndarray:
+    """The keys that at least so many of the rows (key) have, sorted, or a greater number if they would pass the limit.
+    It decides only by which of two ways a key's rows meet, not whether they do."""
+    counts = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
+    while counts.filter(F.col("n") >= least).count() * 8 > limit:
+        least *= 2
+    out = np.sort(counts.filter(F.col("n") >= least).select("key").toArrow().column(0).to_numpy())
+    drop(counts)
+    return out
+
+
+def inside(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted values."""
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
 def collected(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> pa.Table | None:
     """The rows of a written table if they fit the broadcast limit, else None."""
     return None if df.count() * row_bytes > limit else df.toArrow()

@@ -815,8 +815,8 @@ def brute_lines(docs, ids):
     return {o: min(g) for g in groups.values() for o in g if o != min(g)}
 
 
-@pytest.mark.parametrize(("limit", "most_bytes"), [(common.BROADCAST_BYTES, common.GROUP_BYTES), (0, 500)])
-def test_line_dedup_against_brute_force(spark, limit, most_bytes):
+@pytest.mark.parametrize(("limit", "most_bytes", "hot_rows"), [(common.BROADCAST_BYTES, common.GROUP_BYTES, common.HOT_ROWS), (0, 500, 1)])
+def test_line_dedup_against_brute_force(spark, limit, most_bytes, hot_rows):
     rng = random.Random(18)
     base = [words(rng, rng.randrange(12, 40)) for _ in range(25)]
     change = lambda s: " ".join(f"z{rng.randrange(999)}" if rng.random() < 0.03 else w for w in s.split())
@@ -824,7 +824,7 @@ def test_line_dedup_against_brute_force(spark, limit, most_bytes):
     ids = [*range(39), None]
     expected = brute_lines(docs, ids)
     df = table(spark, docs, ids)
-    rows = lines.removals(df, most_bytes=most_bytes)
+    rows = lines.removals(df, most_bytes=most_bytes, hot_rows=hot_rows)
     got = {(r.doc_id, r.line): (r.kept_doc_id, r.kept_line) for r in rows.collect()}
     assert set(got) <= set(expected) and len(got) >= 0.9 * len(expected) > 20
     gone = common.written(rows.select("doc_id", "line"))
@@ -837,7 +837,10 @@ def test_line_dedup_against_brute_force(spark, limit, most_bytes):
             assert i not in out
 
 
-def test_line_pairs_at_the_threshold_are_found(spark):
+@pytest.mark.parametrize("sampled", [common.SAMPLED, 1])
+def test_line_pairs_at_the_threshold_are_found(spark, sampled, monkeypatch):
+    """With sampled 1 and two rows a hot key, every key that two lines have is hot."""
+    monkeypatch.setattr(lines, "SAMPLED", sampled)
     rng = random.Random(180)
     docs, sizes = [], [10, 11, 12, 15, 19, 20, 25, 29, 30, 40, 50, 59, 100, 150, 170, 254, 260, 300]
     for n in sizes:
@@ -847,7 +850,7 @@ def test_line_pairs_at_the_threshold_are_found(spark):
             for p in sorted(rng.sample(range(n), most), reverse=True):
                 b[p : p + 1] = [[f"z{rng.randrange(10**6)}q"], []][k % 4 == 3]  # substituted or deleted
             docs += [" ".join(a), " ".join(b)]
-    found = Counter(sizes[r.doc_id // 40] for r in lines.removals(table(spark, docs)).collect())
+    found = Counter(sizes[r.doc_id // 40] for r in lines.removals(table(spark, docs), hot_rows=2 if sampled == 1 else lines.HOT_ROWS).collect())
     assert found == {n: 20 for n in sizes}
 
 
@@ -920,8 +923,8 @@ def near_groups(texts, ids):
     return {i: root(i) for i in merged}
 
 
-@pytest.mark.parametrize("most_bytes", [common.GROUP_BYTES, 4000])
-def test_near_duplicates_against_brute_force(spark, most_bytes):
+@pytest.mark.parametrize(("most_bytes", "hot_rows"), [(common.GROUP_BYTES, common.HOT_ROWS), (4000, 1)])
+def test_near_duplicates_against_brute_force(spark, most_bytes, hot_rows):
     rng = random.Random(20)
     base = [words(rng, rng.randrange(30, 200)) for _ in range(15)]
     texts = [edited(rng, rng.choice(base), rng.choice([0, 0.02, 0.08, 0.3])) for _ in range(80)] + [*base, *ODD, ODD[8], "one", "two words"]
@@ -929,7 +932,7 @@ def test_near_duplicates_against_brute_force(spark, most_bytes):
     texts, ids = [*texts, "another row", texts[3]], [*ids, 3, 40]  # documents of two rows
     got = {r.doc_id: r.kept_doc_id for r in bagminhash.near_duplicates(table(spark, texts, ids)).collect()}
     expected = near_groups(texts, ids)
-    in_groups = {r.doc_id: r.kept_doc_id for r in bagminhash.groups(table(spark, texts, ids), most_bytes=most_bytes).collect()}
+    in_groups = {r.doc_id: r.kept_doc_id for r in bagminhash.groups(table(spark, texts, ids), most_bytes=most_bytes, hot_rows=hot_rows).collect()}
     assert in_groups == {i: r for i, r in got.items() if list(got.values()).count(r) > 1}
     assert set(got) == set(expected) and np.mean([got[i] == expected[i] for i in got]) > 0.95
     out = bagminhash.drop_near_duplicates(table(spark, texts, ids))
@@ -964,7 +967,8 @@ def test_clusters_of_any_size(spark, most_bytes):
     one = lambda v, off, i, o: abs(v[off[o]] - v[off[i]]) <= 1
     pairs = lambda v, off, a, b: abs(v[off[a]] - v[off[b]]) <= 1
     df = spark.createDataFrame([(c, i, np.array([x] * 3, np.int64).tobytes()) for c, i, x in rows], "comp bigint, id bigint, data binary")
-    got = {r.id: r.root for r in common.clustered(df, pairs, one, most_bytes).collect()}
+    keys = lambda v, off: (np.repeat(np.arange(len(off) - 1), 3), (v[off[:-1]][:, None] + np.arange(-1, 2)).ravel().view(np.uint64))
+    got = {r.id: r.root for r in common.clustered(df, pairs, one, keys, most_bytes).collect()}
     assert got == {i: root(i) for i in parent if root(i) != i} and len(got) > 300
 
 
