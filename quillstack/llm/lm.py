@@ -12,7 +12,7 @@ Training is data parallel. All documents, each once, are split by hash of doc_id
 into rounds and shards whose number grows with the corpus, as far as a shard has
 WORDS_A_PARAMETER for every parameter that it sends; each shard runs truncated
 backpropagation from the round's common parameters, the state carried from window to
-window within a document, and the results are averaged, weighted by words. Scoring
+window within a document, or a stretch of STRETCH words of a longer one, and the results are averaged, weighted by words. Scoring
 runs every document whole, window after window with the state carried, to the end
 symbol; its log-likelihood is complete.
 
@@ -35,9 +35,11 @@ from pyspark.sql import DataFrame, functions as F
 from quillstack.llm import textvec as tv
 from quillstack.llm.common import arrow_array, drop, mapped, prepare, written
 
-COVERAGE, VOCABULARY, HIDDEN = 0.7, 2048, 16
-ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 3, 1000, 1.0
-STREAMS, WINDOW, RATE, CLIP = 256, 16, 0.08, 5.0
+COVERAGE, VOCABULARY, HIDDEN = 0.6, 2048, 16
+ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 3, 1000, 4.0
+STREAMS, WINDOW, STRETCH, RATE, CLIP = 256, 16, 1024, 0.08, 5.0
+#: Fewer streams are used where there would be fewer steps of training.
+LEAST_STEPS = 64
 SCORE_STREAMS, SCORE_WORDS = 512, 1 << 21
 BLOCKS = 64
 #: exp() of it fits float32 many times over; no trained logit comes near it.
@@ -172,41 +174,56 @@ class Model:
         return out, dh
 
 
-def streams(first: np.ndarray, n_streams: int) -> tuple[list[list[int]], int]:
-    """Documents, each of its words and an end, spread evenly over streams, longest first; and the longest stream."""
-    size = np.diff(first) + 1
-    n = max(1, min(n_streams, int(size.sum() // size.max())))
-    lanes: list[list[int]] = [[] for _ in range(n)]
+def streams(size: np.ndarray, n_streams: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces spread evenly over streams, longest first, and the streams' lengths, falling."""
+    n = max(1, min(n_streams, len(size)))
+    lanes: list[list[np.ndarray]] = [[] for _ in range(n)]
     load = np.zeros(n, np.int64)
     order = np.argsort(-size, kind="stable")
     for lo in range(0, len(order), n):  # a round of the longest left goes to the emptiest streams
         some = order[lo : lo + n]
         to = np.argsort(load, kind="stable")[: len(some)]
-        for d, t in zip(some, to, strict=True):
-            lanes[t].append(int(d))
+        for d, t in zip(some.tolist(), to.tolist(), strict=True):
+            lanes[t].append(d)
         load[to] += size[some]
-    return lanes, int(load.max())
-
-
-def laid_out(read: np.ndarray, ids: np.ndarray, first: np.ndarray, model: Model, end: int, n_streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and documents by (time, stream). The input before a document is the last of the
-    inputs; where a stream is over, the document is -1."""
-    lanes, longest = streams(first, n_streams)
-    x = np.full((len(lanes), longest), model.inputs - 1, np.int32)
-    y = np.zeros((len(lanes), longest), np.int32)
-    doc = np.full((len(lanes), longest), -1, np.int32)
-    size = np.diff(first)
-    for k, lane in enumerate(lanes):
-        n = size[lane]
-        t = np.append(0, np.cumsum(n + 1))
-        at = np.arange(n.sum()) + np.repeat(first[lane] - np.cumsum(n) + n, n)
-        to = np.arange(n.sum()) + np.repeat(np.arange(len(lane)), n)
-        x[k, to + 1] = read[at]
-        x[k, t[:-1]] = model.inputs - 1
-        y[k, to] = ids[at]
-        y[k, t[1:] - 1] = end
-        doc[k, : t[-1]] = np.repeat(lane, n + 1)
-    return np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), np.ascontiguousarray(doc.T)
+    by_load = np.argsort(-load, kind="stable")
+    return [np.array(lanes[t], np.int64) for t in by_load], load[by_load]
+
+
+class Layout(NamedTuple):
+    """By (time, stream), streams that are longer first; doc is -1 where a stream is over."""
+
+    x: np.ndarray  # inputs
+    y: np.ndarray  # targets
+    doc: np.ndarray
+    fresh: np.ndarray  # whether the state is 0 before
+    width: np.ndarray  # streams that aren't over, by time
+
+
+def laid_out(read: np.ndarray, ids: np.ndarray, first: np.ndarray, model: Model, end: int, n_streams: int, stretch: int = 0) -> Layout:
+    """Documents, each of its words and an end, in streams. The input before a document is the last of the inputs.
+    With stretch, longer documents are cut into pieces of so many words."""
+    n = np.diff(first)
+    begin = first[:-1] + np.arange(len(n))  # a document's place among all words and ends
+    word = np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)
+    x_all, y_all = np.full(len(ids) + len(n), model.inputs - 1, np.int32), np.full(len(ids) + len(n), end, np.int32)
+    y_all[word], x_all[word + 1 if len(n) else word] = ids, read
+    x_all[begin] = model.inputs - 1
+    pieces = -(-(n + 1) // stretch) if stretch else np.ones(len(n), np.int64)
+    of = np.repeat(np.arange(len(n)), pieces)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = begin[of] + k * stretch
+    size = np.minimum(begin[of] + n[of] + 1 - start, stretch) if stretch else n + 1
+    lanes, load = streams(size, n_streams)
+    shape = (len(lanes), int(load[0]))
+    x, y, doc, fresh = np.full(shape, model.inputs - 1, np.int32), np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+    for i, lane in enumerate(lanes):
+        m = size[lane]
+        t = np.cumsum(m) - m
+        at = np.arange(load[i]) + np.repeat(start[lane] - t, m)
+        x[i, : load[i]], y[i, : load[i]], doc[i, : load[i]] = x_all[at], y_all[at], np.repeat(of[lane], m)
+        fresh[i, t] = True
+    return Layout(*(np.ascontiguousarray(v.T) for v in (x, y, doc, fresh)), np.searchsorted(-load, -np.arange(shape[1]), "left"))
 
 
 def score_documents(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -215,46 +232,56 @@ def score_documents(model: Model, read: np.ndarray, ids: np.ndarray, first: np.n
     out = np.zeros(n)
     if not n:
         return out
-    x, y, doc = laid_out(read, ids, first, model, end, SCORE_STREAMS)
+    x, y, doc, fresh, width = laid_out(read, ids, first, model, end, SCORE_STREAMS)
     h = np.zeros((x.shape[1], model.hidden), np.float32)
-    window = max(1, (1 << 14) // x.shape[1])
-    states = np.empty((window, *h.shape), np.float32)
-    for lo in range(0, len(x), window):
-        hi = min(len(x), lo + window)
+    lo = 0
+    while lo < len(x):
+        b = int(width[lo])
+        h = h[:b]
+        hi = min(len(x), lo + max(1, (1 << 14) // b))
+        states = np.empty((hi - lo, b, model.hidden), np.float32)
         for t in range(lo, hi):
-            h[x[t] == model.inputs - 1] = 0
-            h = model.step(h, x[t])[0]
+            h[fresh[t, :b]] = 0
+            h = model.step(h, x[t, :b])[0]
             states[t - lo] = h
-        live = np.flatnonzero(doc[lo:hi].ravel() >= 0)
-        p, _ = model.output(states[: hi - lo].reshape(-1, model.hidden)[live], y[lo:hi].ravel()[live])
-        out += np.bincount(doc[lo:hi].ravel()[live], p, n)
+        own = doc[lo:hi, :b].ravel()
+        live = np.flatnonzero(own >= 0)
+        p, _ = model.output(states.reshape(-1, model.hidden)[live], y[lo:hi, :b].ravel()[live])
+        out += np.bincount(own[live], p, n)
+        lo = hi
     return out
 
 
 def train(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, end: int, rate: float = RATE) -> float:
     """One pass of truncated backpropagation with Adagrad; returns the mean log-probability on the way."""
-    x, y, doc = laid_out(read, ids, first, model, end, STREAMS)
-    b, k = x.shape[1], model.hidden
-    h = np.zeros((b, k), np.float32)
+    n_streams = max(1, min(STREAMS, len(ids) // (WINDOW * LEAST_STEPS)))
+    x, y, doc, fresh, width = laid_out(read, ids, first, model, end, n_streams, STRETCH)
+    k = model.hidden
+    h = np.zeros((x.shape[1], k), np.float32)
     grad, memory = model.like(np.zeros_like(model.flat)), model.like(np.full(len(model.flat), 0.05, np.float32))
     total, seen = 0.0, 0
     for lo in range(0, len(x), WINDOW):
-        hi = min(len(x), lo + WINDOW)
+        hi, b = min(len(x), lo + WINDOW), int(width[lo])
+        h = h[:b]
         tape = []
         for t in range(lo, hi):
-            start = np.flatnonzero(x[t] == model.inputs - 1)
+            start = np.flatnonzero(fresh[t, :b])
             if len(start):
                 h = h.copy()
                 h[start] = 0
-            new, z, r, n, s = model.step(h, x[t])
+            new, z, r, n, s = model.step(h, x[t, :b])
             tape.append((h, z, r, n, s, start))
             h = new
             tape[-1] = (*tape[-1], new)
-        live = np.flatnonzero(doc[lo:hi].ravel() >= 0)
-        p, dh = model.output(np.concatenate([s[-1] for s in tape])[live], y[lo:hi].ravel()[live], grad)
+        live = np.flatnonzero(doc[lo:hi, :b].ravel() >= 0)
+        states, target = np.concatenate([s[-1] for s in tape]), y[lo:hi, :b].ravel()
+        if len(live) == len(target):
+            p, d_out = model.output(states, target, grad)
+        else:
+            p, dh = model.output(states[live], target[live], grad)
+            d_out = np.zeros_like(states)
+            d_out[live] = dh
         total, seen = total + p.sum(), seen + len(p)
-        d_out = np.zeros(((hi - lo) * b, k), np.float32)
-        d_out[live] = dh
         d_out = d_out.reshape(hi - lo, b, k)
         carry = np.zeros((b, k), np.float32)
         d_in = np.empty((hi - lo, b, 3 * k), np.float32)
@@ -272,7 +299,7 @@ def train(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, en
             carry = dz + d_state[t] @ model.r.T
             carry[start] = 0
         flat_in = d_in.reshape(-1, 3 * k)
-        where = x[lo:hi].ravel()
+        where = x[lo:hi, :b].ravel()
         order = np.argsort(where, kind="stable")
         sorted_ = where[order]
         at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
