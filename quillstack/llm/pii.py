@@ -96,14 +96,19 @@ _NAME = rf"{_UP}[^\W\d_]*(?:['’-][^\W\d_]+)*"
 _WORD = rf"(?:(?:{TITLES}|{_UP})\.|{_NAME})"
 RUN = re.compile(rf"(?<![\w@.]){_WORD}(?: {{1,2}}(?:(?:{'|'.join(sorted(_PARTICLES))}) ){{0,2}}{_WORD})*")
 SECRET = re.compile(r"\b(?i:token|api[_-]?key|secret|passw(?:or)?d|access[_-]?key|private[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,})|\b(?P<bare>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b")
-NUMBER = re.compile(
-    rf"(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))"
-    r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)){2,7}(?::|[0-9A-Fa-f]{0,4})(?:[0-9A-Fa-f:]{0,30})(?![\w:]))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
-    r"|(?<![\d.,+-])(?:0[1-9](?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|\(0\d{1,4}\) ?\d{5,8}|1[3-9]\d{9}|[679]\d{2} \d{3} \d{3})(?![\d-]|[.,]\d))"
-    r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
+DIGITS = re.compile(r"[0-9]+")
+COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
+ADDRESS = re.compile("[0-9A-Fa-f:]+")
+_ADDRESS = frozenset("0123456789abcdefABCDEF:")
+IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+PLUS = re.compile(r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d))")
+BRACKET = re.compile(r"(?P<phone>\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\(0\d{1,4}\) ?\d{5,8}(?![\d-]|[.,]\d))")
+#: What begins with a digit.
+PLAIN = re.compile(
+    rf"(?P<ip>(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))"
+    r"|(?P<phone>(?<!-)\d{3}-\d{3}-\d{4}(?![\d-])|(?<![.,+-])(?:0[1-9](?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|1[3-9]\d{9}|[679]\d{2} \d{3} \d{3})(?![\d-]|[.,]\d))"
+    r"|(?P<card>(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))"
+    r"|(?P<ssn>(?<!-)\d{3}-\d{2}-\d{4}(?![\d-]))"
 )
 ORDER = {k: i for i, k in enumerate(("secret", "hex", "email", "ip", "ip6", "iban", "phone", "card", "ssn", "person", "han"))}
 _MAILBOX = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -356,23 +361,49 @@ def _secrets(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
-    for m in NUMBER.finditer(text):
+    """What holds digits: a run of them decides by what stands before it which pattern may begin there."""
+    end = 0
+    for run in DIGITS.finditer(text):
+        p = run.start()
+        if p < end:
+            continue
+        before = text[p - 1] if p else ""
+        m = PLUS.match(text, p - 1) if before == "+" else BRACKET.match(text, p - 1) if before == "(" and not text[p - 2 : p - 1].isdigit() else None
+        if m is None and p > 1 and before.isupper() and (p == 2 or not (text[p - 3].isalnum() or text[p - 3] == "_")) and (iban := IBAN.match(text, p - 2)):
+            value = iban[0].replace(" ", "")
+            if _mod97(value[4:] + value[:4]) == 1:
+                end = iban.end()
+                yield *iban.span(), "iban", value
+            continue
+        m = m or PLAIN.match(text, p)
+        if m is None:
+            continue
         kind, value = m.lastgroup, m[0]
-        if kind == "ip6":
-            value = _compressed(value) if len(value) > 6 else None
-        elif kind == "iban":
-            value = value.replace(" ", "")
-            value = value if _mod97(value[4:] + value[:4]) == 1 else None
-        elif kind == "phone":
+        if kind == "phone":
             code = re.match(r"\+(\d{1,3})(?=[ .(-])", value)
             digits = re.sub(r"\D", "", value)
             code = code[1] if code else ""
             value = code + "|" + digits[len(code) :]
-        elif kind in ("card", "ssn"):
+        elif kind != "ip":
             value = re.sub(r"\D", "", value)
-            value = value if kind == "ssn" or _luhn(value[:-1]) == int(value[-1]) else None
-        if value is not None:
-            yield *m.span(), kind, value
+            if kind == "card" and _luhn(value[:-1]) != int(value[-1]):
+                continue
+        end = m.end()
+        yield *m.span(), kind, value
+    end = 0
+    for colons in COLONS.finditer(text):
+        s = e = colons.start()
+        if s < end:
+            continue
+        while s > max(end, e - 5) and text[s - 1] in _ADDRESS:
+            s -= 1
+        end = e = ADDRESS.match(text, s).end()
+        if e - s > 40:
+            continue
+        if text[e - 1] == ":" != text[e - 2]:  # a colon behind the address
+            e -= 1
+        if e - s > 6 and (s == 0 or not (text[s - 1].isalnum() or text[s - 1] in "_.")) and not text[e : e + 1].isalnum() and (value := _compressed(text[s:e])):
+            yield s, e, "ip6", value
 
 
 def _persons(text: str) -> Iterator[tuple[int, int, str, str]]:
