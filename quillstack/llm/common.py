@@ -210,8 +210,13 @@ def bucket_links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], sketche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key"]):
-            key, ids = (table.column(c).to_numpy() for c in ("key", "id"))
-            sketch = np.stack([table.column(c).to_numpy() for c in sketches], 1)
+            key = table.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            use = np.flatnonzero(np.append(same, False) | np.append(False, same))  # most rows are alone with their key
+            if not len(use):
+                continue
+            key, ids = key[use], table.column("id").to_numpy()[use]
+            sketch = np.stack([table.column(c).to_numpy()[use] for c in sketches], 1)
             at = run_starts(key)
             size = np.diff(at)
             left = np.repeat(at[1:], size) - np.arange(len(key)) - 1  # rows of the bucket after each

@@ -780,6 +780,23 @@ def test_word_edits_match_the_distance():
     k = np.arange(300) * 2
     got = lines.alike(flat, off, k, k + 1, 0.85)
     assert got.tolist() == [edits(a, b) <= int(0.15 * max(len(a), len(b)) + 1e-9) for a, b in pairs] and 20 < got.sum() < 280
+    assert [lines.distance(a, b) for a, b in pairs] == [edits(a, b) for a, b in pairs]
+
+
+def test_long_lines_are_compared_exactly():
+    rng = random.Random(160)
+    base = [rng.randrange(10**6) for _ in range(900)]
+    rows = [base]
+    for share in (0.02, 0.09, 0.099, 0.101, 0.12, 0.3, 0.9):
+        for kind in range(3):
+            row = list(base)
+            for p in sorted(rng.sample(range(900), int(share * 900)), reverse=True):
+                row[p : p + 1] = [[-p - 1], [], [row[p], -p - 1]][kind]
+            rows.append(row)
+    flat, off = np.array([x for r in rows for x in r]), np.append(0, np.cumsum([len(r) for r in rows]))
+    got = lines.alike_one(flat, off, 0, np.arange(1, len(rows)), 0.9)
+    expected = [edits(base, r) <= int(0.1 * max(900, len(r)) + 1e-9) for r in rows[1:]]
+    assert got.tolist() == expected and 6 < sum(expected) < 18
 
 
 def test_majority_bits():
