@@ -123,11 +123,12 @@ def phrase_ranges(normalized: Column, phrase: str) -> Column:
     """Places of a normalised phrase, left to right and not overlapping, in normalised text."""
     if not phrase:
         return F.array().cast(RANGES)
-    k = len(phrase)
-    parts = F.split(normalized, phrase)
-    start = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + i * k
-    hits = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.struct(start(i).alias("start"), (start(i) + k).alias("end")))
-    return F.when(F.size(parts) > 1, hits).otherwise(F.array().cast(RANGES)).cast(RANGES)
+    k, none = len(phrase), F.array().cast(RANGES)
+    # one walk over what stands between the places, the offset carried along
+    first = F.struct(F.lit(-k).alias("at"), none.alias("hits"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + k).alias("at"), F.concat(a["hits"], F.array(F.struct((a["at"] + F.length(p) + k).alias("start"), (a["at"] + F.length(p) + 2 * k).alias("end")))).alias("hits"))
+    walked = F.aggregate(F.split(normalized, phrase), first, step, lambda a: F.slice(a["hits"], 1, F.size(a["hits"]) - 1))
+    return F.when(F.contains(normalized, F.lit(phrase)), walked).otherwise(none)
 
 
 def heading_path_of(heading: Column) -> Column:
@@ -137,7 +138,9 @@ def heading_path_of(heading: Column) -> Column:
 
 
 def truncate(x: Column, size: int = 200) -> Column:
-    return F.when(F.length(x) > size, F.concat(F.left(x, F.lit(size)), F.lit("..."))).otherwise(x)
+    """The first size UTF-16 units; half of a pair becomes the replacement character."""
+    units = F.when(F.octet_length(x) == F.length(x), F.left(x, F.lit(size))).otherwise(F.decode(F.substring(F.encode(x, "UTF-16BE"), 1, 2 * size), "UTF-16BE"))
+    return F.when(F.length(x) * 2 <= size, x).when(utf16_length(x) > size, F.concat(units, F.lit("..."))).otherwise(x)
 
 
 def superscript_marker(n: Column) -> Column:

@@ -4,17 +4,20 @@ The frequency of every benchmark word is counted over the whole corpus. A word
 trigram of a test item is a seed if, were words independent, it would be expected
 at most SEED_RATE times per position; an item with fewer than MIN_SEEDS seeds
 takes its MIN_SEEDS rarest trigrams as well. How often a seed itself occurs doesn't
-matter, so an item that leaked many times keeps its seeds. Items of fewer than three
-words have one seed, all their words.
+matter, so an item that leaked many times keeps its seeds. Items of one or two words
+have one seed, all their words, sought among the documents' words and pairs of words.
 
 Each occurrence of a seed in a document proposes a diagonal; the words around it are
 aligned with the item (match 1, mismatch and gap -0.5). The score is the best local
 alignment over the item's number of words; at least THRESHOLD is a leak.
 
 Test items travel to the workers in blocks of bounded size; a larger benchmark takes
-several passes. Defined cases: null or wordless texts and items match nothing; items
-with the same text are each reported; rows with the same doc_id report the best
-score of any of them; null doc_ids can't be reported and are kept only if clean.
+several passes. Defined cases: null, empty or wordless texts and items match nothing;
+very long texts are searched whole; items with the same text are each reported; rows
+with the same doc_id, repeated rows among them, report the best score of any of them;
+null doc_ids can't be reported and are kept only if clean; an item without an id counts
+for nothing; empty tables give no leaks and drop nothing; other columns, whatever their
+names, pass untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillstack.llm import textvec as tv
-from quillstack.llm.common import BROADCAST_BYTES, arrow_array, int_column, keep_masked, mapped, prepare, run_starts, written
+from quillstack.llm.common import BROADCAST_BYTES, arrow_array, drop, int_column, keep_masked, mapped, prepare, run_starts, written
 
 SEED, SEED_RATE, MIN_SEEDS, THRESHOLD = 3, 3e-8, 8, 0.5
 MISMATCH = GAP = 0.5
@@ -45,6 +48,7 @@ class Items(NamedTuple):
     seed_item: np.ndarray
     seed_at: np.ndarray
     filter: np.ndarray  # a bitmap of the seeds' low bits
+    short: tuple[int, ...]  # numbers of words, less than SEED, that items have
 
 
 def _counts(words: np.ndarray):
@@ -66,7 +70,7 @@ def blocks(docs: DataFrame, items: DataFrame, block_bytes: int = BROADCAST_BYTES
     """The benchmark with its seeds, in blocks that may be broadcast; reads it block by block."""
     prepare(docs.sparkSession)
     rows = written(items.select("item_id", "text").filter("item_id is not null and text is not null"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size * WORD_BYTES // 4 // block_bytes))
     out = []
     for b in range(n_blocks):
@@ -91,10 +95,20 @@ def blocks(docs: DataFrame, items: DataFrame, block_bytes: int = BROADCAST_BYTES
         use = use[np.argsort(hashes[use], kind="stable")]
         bitmap = np.zeros(1 << 20, bool)
         bitmap[(hashes[use] & np.uint64((1 << 20) - 1)).astype(int)] = True
-        out.append(Items(table.column("item_id").to_numpy().astype(np.int64), w.first, w.hash, hashes[use], doc[use], at[use], bitmap))
+        short = tuple(k for k in range(1, SEED) if (np.diff(w.first) == k).any())
+        out.append(Items(table.column("item_id").to_numpy().astype(np.int64), w.first, w.hash, hashes[use], doc[use], at[use], bitmap, short))
+    drop(rows)
     return out
 
 
+def _seen(w: tv.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place among all words of every run of n words of a document."""
+    prefix = tv.prefix_hash(w.hash)
+    start = np.arange(max(0, len(w.hash) - n + 1))
+    start = start[w.doc[start] == w.doc[start + n - 1]]
+    return tv.span_hash(prefix, start, start + n), start
+
+
 def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Best local alignment score of each row of a with the same row of b. Padding must not match."""
     n, width = b.shape
@@ -123,7 +137,7 @@ def _padded(values: np.ndarray, start: np.ndarray, end: np.ndarray, pad: int) ->
 def leaks_in(text: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, score) of every proposed pair."""
     w = tv.words(text)
-    hashes, doc = tv.shingles(w, SEED)
+    hashes, start = (np.concatenate(x) for x in zip(*(_seen(w, n) for n in (*items.short, SEED)), strict=True))
     near = np.flatnonzero(items.filter[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
     lo = np.searchsorted(items.seeds, hashes[near])
     hi = np.searchsorted(items.seeds, hashes[near], "right")
@@ -131,9 +145,9 @@ def leaks_in(text: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.n
     if not size.sum():
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
     hit = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
-    place = np.repeat(near, size)
-    own, item = doc[place], items.seed_item[hit]
-    diagonal = place - np.searchsorted(doc, own) - items.seed_at[hit]
+    place = start[np.repeat(near, size)]
+    own, item = w.doc[place], items.seed_item[hit]
+    diagonal = place - w.first[own] - items.seed_at[hit]
     length = np.diff(items.first)
     slack = np.maximum(SLACK, (length * SLACK_SHARE).astype(int))
     order = np.lexsort((diagonal, item, own))

@@ -9,10 +9,14 @@ kept if both scores are positive.
 Toxicity needs a vocabulary, which is learned from the labelled rows: whole words
 and their first four and five bytes that are far more common in toxic documents.
 
-Null and empty texts have the statistics of an empty text; a document without
-words is never kept. Null labels are ignored, repeated labels count once each,
-and without both classes of a label that head accepts everything. The models are
-fitted on at most max_labelled labelled documents, drawn by hash of doc_id.
+Defined cases: null and empty texts have the statistics of an empty text; a document
+without words is never kept; very long texts are measured whole. Null labels and labels
+without an id are ignored, equal labels of a document count once, and labels that
+contradict each other count as none. Without both classes of a label that head accepts
+everything. Repeated rows get equal scores, a score of 0 is no acceptance, null doc_ids
+are scored and filtered like others, an empty table gives none, and other columns,
+whatever their names, pass untouched. The models are fitted on the documents of at most
+max_labelled labels, drawn by hash of doc_id.
 """
 
 from __future__ import annotations
@@ -175,10 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     spark = docs.sparkSession
     prepare(spark)
     chosen = labels.select("doc_id", "quality", "toxic").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(max_labelled)
-    rows = [(r[0], r[1], r[2]) for r in chosen.collect()]
-    by_id = {}
-    for i, q, t in rows:
-        by_id.setdefault(i, (-1 if q is None else int(q), -1 if t is None else int(t)))
+    said: dict[int, tuple[set[int], set[int]]] = {}
+    for i, *given in chosen.collect():
+        for seen, x in zip(said.setdefault(i, (set(), set())), given, strict=True):
+            if x is not None:
+                seen.add(int(x))
+    by_id = {i: tuple(next(iter(seen)) if len(seen) == 1 else -1 for seen in pair) for i, pair in said.items()}
     if not by_id:
         return Model(np.zeros(0, np.uint64), None, None)
     sample = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame([(i,) for i in by_id], "doc_id bigint")), "doc_id", "left_semi")
@@ -208,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         picked = counts.filter((bad / n_bad >= LEXICON_RATIO * (rest + 0.5) / n_rest) & (2 * (part(bad, share) + part(rest, 1 - share)) >= LEXICON_EVIDENCE))
         lexicon = np.sort(picked.select("key").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
+    lab.destroy()
     lex = spark.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 yield pa.RecordBatch.from_arrays([arrow_array(part, "doc_id").cast(pa.int64()), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
     table = mapped(sample, measure, "doc_id bigint, stats array<double>").toArrow().sort_by("doc_id")
+    lex.destroy()
     if not table.num_rows:
         return Model(lexicon, None, None)
     stats = np.array(table.column("stats").to_pylist())

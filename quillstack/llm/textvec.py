@@ -48,7 +48,7 @@ def classes() -> np.ndarray:
     return np.append(out, np.uint8(NONE))
 
 #: Bytes of text handled at once: temporaries stay in cache and far below a worker's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

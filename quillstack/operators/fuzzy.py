@@ -33,7 +33,7 @@ def eligible(terms: DataFrame, stats: DataFrame, tokens: list[str], options: Fuz
     use = [t for t in dict.fromkeys(tokens) if options.enabled and options.max_edits == 1 and len(t) >= options.min_token_len]
     q = F.explode(F.array(*[F.lit(t) for t in use]).cast("array<string>")).alias("q")
     known = terms.filter(F.col("token").isin(use)).select("corpus_id", F.col("token").alias("q"), "df")
-    return stats.select("corpus_id", q).join(F.broadcast(known), ["corpus_id", "q"], "left").filter(F.coalesce("df", F.lit(0)) < options.df_threshold).select("corpus_id", "q")
+    return stats.select("corpus_id", q).join(known, ["corpus_id", "q"], "left").filter(F.coalesce("df", F.lit(0)) < options.df_threshold).select("corpus_id", "q")
 
 
 def candidates(terms: DataFrame, stats: DataFrame, tokens: list[str], options: FuzzyOptions) -> DataFrame:

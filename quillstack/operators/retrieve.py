@@ -30,16 +30,16 @@ def neighbors(spans: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
 
 
 def neighbors_of(spans: DataFrame, hits: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
-    """(corpus_id, span_id, neighbor_id, neighbor_ord, is_target) of a few hits (corpus_id, span_id, ord): a range join with a small side."""
-    h = F.broadcast(hits.select(F.col("corpus_id").alias("c"), F.col("span_id").alias("hit_id"), F.col("ord").alias("o")))
-    near = spans.join(h, (F.col("corpus_id") == F.col("c")) & (F.col("ord") >= F.col("o") - before) & (F.col("ord") <= F.col("o") + after))
-    return near.select("corpus_id", F.col("hit_id").alias("span_id"), F.col("span_id").alias("neighbor_id"), F.col("ord").alias("neighbor_ord"), (F.col("ord") == F.col("o")).alias("is_target"))
+    """(corpus_id, span_id, neighbor_id, neighbor_ord, is_target) of hits (corpus_id, span_id, ord): each hit
+    names the orders around it, so the join is by equality whatever the number of hits."""
+    h = hits.select("corpus_id", F.col("span_id").alias("hit_id"), F.col("ord").alias("o"), F.explode(F.sequence(F.col("ord") - before, F.col("ord") + after)).alias("ord"))
+    return spans.join(h, ["corpus_id", "ord"]).select("corpus_id", F.col("hit_id").alias("span_id"), F.col("span_id").alias("neighbor_id"), F.col("ord").alias("neighbor_ord"), (F.col("ord") == F.col("o")).alias("is_target"))
 
 
 def expand_to_neighbors(hits: DataFrame, stats: DataFrame, n: int) -> DataFrame:
     """hits with pack_id, scope and paragraph_ids of the window of n spans either side. Orders
     are dense, so the ids follow from arithmetic and no span is read."""
-    out = hits.join(F.broadcast(stats.select("corpus_id", "max_ord")), "corpus_id")
+    out = hits.join(stats.select("corpus_id", "max_ord"), "corpus_id")
     start, end = F.greatest(F.lit(0).cast("bigint"), F.col("ord") - n), F.least(F.col("max_ord"), F.col("ord") + n)
     out = out.withColumn("s", start).withColumn("e", end)
     scope = F.struct(F.lit("neighbors").alias("type"), F.lit(None).cast("string").alias("sectionId"), F.struct(F.col("s").alias("start"), F.col("e").alias("end")).alias("range")).cast(SCOPE)
@@ -62,6 +62,16 @@ def union_ids(ids: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["id"])
 
 
+def section_packs(hits: DataFrame, paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
+    """merge(expand_to_section(hits)) without hits that have no section. Hits are grouped by section first,
+    and a section's list of paragraphs is attached once."""
+    best = F.max_by(F.struct(*[c for c in hits.columns if c != "corpus_id"]), F.struct(F.col("score"), -F.col("ord")))
+    own = hits.join(paragraphs.select("corpus_id", "span_id", "section_id"), ["corpus_id", "span_id"]).groupBy("corpus_id", "section_id").agg(best.alias("b"))
+    out = own.join(sections.select("corpus_id", "section_id", "heading", "paragraph_ids"), ["corpus_id", "section_id"]).filter("paragraph_ids is not null")
+    scope = F.struct(F.lit("section").alias("type"), F.col("section_id").alias("sectionId"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("range")).cast(SCOPE)
+    return out.select("corpus_id", F.concat(F.lit("s:"), "section_id").alias("pack_id"), "b.*", scope.alias("scope"), js.heading_path_of(F.col("heading")).alias("section_path"), union_ids(F.array("paragraph_ids")).alias("paragraph_ids"))
+
+
 def merge(contexts: DataFrame) -> DataFrame:
     """One row a pack_id: the hit of the highest score (then the lowest ord), its scope and path, and all paragraphs."""
     entry = [c for c in contexts.columns if c not in ("corpus_id", "pack_id", "paragraph_ids")]
@@ -95,12 +105,10 @@ def retrieve(index: Index, query: str, options: RetrievalOptions | None = None)
     hits = hits.join(index.spans.select("corpus_id", "span_id", "heading_path"), ["corpus_id", "span_id"])
     near = expand_to_neighbors(hits, index.stats, o.per_hit_neighbors)
     if o.expand == "section" and index.sections is not None:
-        section = expand_to_section(near.withColumnsRenamed({"pack_id": "n_pack", "scope": "n_scope", "paragraph_ids": "n_ids"}), index.paragraphs, index.sections)
-        contexts = section.select(
-            *hits.columns, F.coalesce("pack_id", "n_pack").alias("pack_id"), F.coalesce("scope", "n_scope").alias("scope"),
-            F.coalesce("paragraph_ids", "n_ids").alias("paragraph_ids"), F.coalesce("section_path", "heading_path").alias("path"),
-        )
-        contexts = contexts.withColumn("heading_path", F.col("path")).drop("path")
+        within = section_packs(hits, index.paragraphs, index.sections).withColumn("heading_path", F.col("section_path")).drop("section_path")
+        placed = index.paragraphs.join(index.sections.filter("paragraph_ids is not null").select("corpus_id", "section_id"), ["corpus_id", "section_id"])
+        outside = near.join(placed.select("corpus_id", "span_id"), ["corpus_id", "span_id"], "left_anti").select(near.columns)
+        packs = within.unionByName(merge(outside))
     else:
-        contexts = near
-    return budget(resolve(merge(contexts), index.spans), o.limit, o.max_tokens)
+        packs = merge(near)
+    return budget(resolve(packs, index.spans), o.limit, o.max_tokens)

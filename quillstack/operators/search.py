@@ -60,7 +60,7 @@ def matches(index: Index, query: str, fuzzy: FuzzyOptions | None = None) -> Data
     if distinct:
         hits = index.postings.filter(F.col("token").isin(distinct))
         if fuzzy.enabled:
-            table = F.broadcast(expansion(index.terms, index.stats, tokens, fuzzy))
+            table = expansion(index.terms, index.stats, tokens, fuzzy)
             hits = index.postings.join(table, ["corpus_id", "token"])
         else:
             hits = hits.withColumn("q", F.col("token")).withColumn("place", F.lit(0))
@@ -91,7 +91,7 @@ def tfidf(index: Index, query: str) -> DataFrame:
     times = F.coalesce(F.try_element_at(F.create_map(*[x for t in dict.fromkeys(tokens) for x in (F.lit(t), F.lit(tokens.count(t)))]) if tokens else F.lit(None).cast("map<string,int>"), F.col("token")), F.lit(0))
     mine = F.col("token").isin(list(dict.fromkeys(tokens)))
     idf = index.terms.filter(mine).join(index.stats, "corpus_id").select("corpus_id", "token", (F.log(F.col("n") / (1 + F.col("df"))) * times).alias("idf"))
-    hits = index.postings.filter(mine).join(F.broadcast(idf), ["corpus_id", "token"])
+    hits = index.postings.filter(mine).join(idf, ["corpus_id", "token"])
     part = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     return hits.groupBy("corpus_id", "span_id").agg((F.sum(part) / F.sqrt(F.max("doc_len").cast("double"))).alias("score"))
 
@@ -110,11 +110,16 @@ def lexical(index: Index, query: str, fuzzy: FuzzyOptions | None = None) -> Data
     return scored.withColumn("score", boosted(F.coalesce("score", F.lit(0.0))))
 
 
-def minmax(score: Column, *keys: str) -> Column:
-    """Scores scaled to [0, 1] among the rows that have one; 1 if all are equal."""
-    w = W.partitionBy(*keys)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(score.isNull(), None).when(low == high, F.lit(1.0)).otherwise((score - low) / F.nullif(high - low, F.lit(0.0)))
+def minmax(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """rows with columns scaled to [0, 1] among the rows of equal keys that have a value; 1 if all are equal.
+    The extremes are grouped and joined back, so no task holds a key's rows."""
+    ends = rows.groupBy(*keys).agg(*[f(c).alias(f"{c}_{name}") for c in columns for f, name in ((F.min, "low"), (F.max, "high"))])
+
+    def scaled(c: str) -> Column:
+        x, low, high = (F.col(n) for n in (c, f"{c}_low", f"{c}_high"))
+        return F.when(x.isNull(), None).when(low == high, F.lit(1.0)).otherwise((x - low) / F.nullif(high - low, F.lit(0.0)))
+
+    return rows.join(ends, [*keys]).withColumns({c: scaled(c) for c in columns}).select(rows.columns)
 
 
 def hybrid(index: Index, query: str, options: HybridOptions | None = None, fuzzy: FuzzyOptions | None = None) -> DataFrame:
@@ -122,10 +127,12 @@ def hybrid(index: Index, query: str, options: HybridOptions | None = None, fuzzy
     options = options or HybridOptions()
     options.validate()
     found = lexical(index, query, fuzzy).withColumnRenamed("score", "lexical")
-    semantic = embed.cosine_scores(index.embeddings, list(embed.embed_text(query))).select("corpus_id", "span_id", F.col("score").alias("semantic"))
-    both = found.join(semantic, ["corpus_id", "span_id"], "left")
+    # only the vectors of spans that were found are scored
+    vector = F.array(*[F.lit(float(x)) for x in embed.embed_text(query)])
+    semantic = F.when(F.size("embedding") > 0, embed.dot(F.col("embedding"), vector))
+    both = found.join(index.embeddings.select("corpus_id", "span_id", "embedding"), ["corpus_id", "span_id"], "left").withColumn("semantic", semantic).drop("embedding")
     if options.normalize:
-        both = both.withColumn("lexical", minmax(F.col("lexical"), "corpus_id")).withColumn("semantic", minmax(F.col("semantic"), "corpus_id"))
+        both = minmax(both, ["lexical", "semantic"], "corpus_id")
     score = options.weight_lexical * F.col("lexical") + options.weight_semantic * F.coalesce("semantic", F.lit(0.0))
     return both.withColumn("score", score).drop("lexical", "semantic")
 
@@ -157,12 +164,16 @@ def search(index: Index, query: str, options: SearchOptions | None = None) -> Da
 
 def batch_search(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, corpus_id, span_id, ord, score, rank) for a table (query_id, text): every query
-    at once, one join with the postings; AND of the distinct tokens, ranked by TF-IDF."""
+    at once; AND of the distinct tokens, ranked by TF-IDF. The postings of each query's rarest
+    token name the spans that can hold all of them; only these spans' postings meet the others."""
     q = queries.select("query_id", F.explode(js.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    idf = index.terms.join(index.stats, "corpus_id").select("corpus_id", "token", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
-    hits = index.postings.join(q, "token").join(idf, ["corpus_id", "token"])
-    part = F.col("times") * (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    known = q.join(index.terms, "token").join(index.stats.select("corpus_id", "n"), "corpus_id")
+    weighed = known.select("query_id", "corpus_id", "token", (F.col("times") * F.log(F.col("n") / (1 + F.col("df")))).alias("weight"), "df")
+    rarest = weighed.groupBy("query_id", "corpus_id").agg(F.count("*").alias("have"), F.min_by("token", F.struct("df", "token")).alias("token")).join(need, "query_id").filter("have = need")
+    spans = index.postings.select("corpus_id", "token", "span_id").join(rarest.select("query_id", "corpus_id", "token"), ["corpus_id", "token"]).select("query_id", "corpus_id", "span_id")
+    hits = index.postings.join(spans, ["corpus_id", "span_id"]).join(weighed.drop("df"), ["query_id", "corpus_id", "token"])
+    part = (1 + F.log(F.col("tf").cast("double"))) * F.col("weight")
     found = hits.groupBy("query_id", "corpus_id", "span_id", "ord").agg(F.count("*").alias("have"), (F.sum(part) / F.sqrt(F.max("doc_len").cast("double"))).alias("score"))
     found = found.join(need, "query_id").filter("have = need")
     rank = F.row_number().over(W.partitionBy("query_id", "corpus_id").orderBy(F.desc("score"), "ord"))

@@ -78,7 +78,7 @@ def all_index(spark: SparkSession, sf_dir: str) -> ix.Index:
 
     def make() -> ix.Index:
         spans = store.written(all_spans(spark, sf_dir))
-        postings = store.written(ix.postings(spans).repartitionByRange(8, "token").sortWithinPartitions("token", "ord"))
+        postings = store.written(ix.postings(spans).repartitionByRange("token").sortWithinPartitions("token", "ord"))
         return ix.Index(spans, postings, store.written(ix.terms(postings)), store.written(ix.corpus_stats(spans)))
 
     return store.once(spark, "all", sf_dir, make)
@@ -98,7 +98,7 @@ def books_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     def make() -> ix.Index:
         a = books_assigned(spark, sf_dir)
         spans = a.select("corpus_id", "span_id", "ord", "text", "heading_path")
-        p = store.written(ix.postings(spans).repartitionByRange(8, "token").sortWithinPartitions("token", "corpus_id"))
+        p = store.written(ix.postings(spans).repartitionByRange("token").sortWithinPartitions("token", "corpus_id"))
         return ix.Index(spans, p, store.written(ix.terms(p)), store.written(ix.corpus_stats(spans)), None, store.written(structure.sections(a)), structure.paragraphs(a))
 
     return store.once(spark, "books", sf_dir, make)
@@ -243,7 +243,7 @@ _RANGES_SQL = """r AS (SELECT {k}, p, list_transform(range(1, len(p)), lambda i:
     "WITH n AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS x FROM documents), " + _RANGES_SQL.format(k="doc_id", n=6, phrase="of the", src="n") + " SELECT doc_id, array_to_string(list_transform(s, lambda v: concat(v, '-', v + 6)), ',') AS ranges FROM r WHERE len(s) > 0",
 )
 def phrase_ranges(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").select("doc_id", js.normalize_phrase(F.col("text")).alias("x"))
+    n = table(spark, sf_dir, "documents").select("doc_id", js.normalize_phrase(F.col("text")).alias("x")).filter(F.contains("x", F.lit("of the")))
     r = n.select("doc_id", js.phrase_ranges(F.col("x"), "of the").alias("r")).filter(F.size("r") > 0)
     return r.select("doc_id", F.array_join(F.transform("r", lambda v: F.concat(v["start"].cast("string"), F.lit("-"), v["end"].cast("string"))), ",").alias("ranges"))
 
@@ -280,11 +280,12 @@ EMBEDDED = ALL + ", " + _TOKEN_VALUES.format(tokens="(SELECT token FROM terms)")
 
 @query(
     "span_embeddings",
-    sql(EMBEDDED, "SELECT g.span_id, round(coalesce(max(CASE WHEN d = 0 THEN e END), 0), 6) + 0.0 AS e0, round(coalesce(max(CASE WHEN d = 10 THEN e END), 0), 6) + 0.0 AS e10, round(coalesce(max(CASE WHEN d = 100 THEN e END), 0), 6) + 0.0 AS e100 FROM g LEFT JOIN ev USING (span_id) GROUP BY 1"),
+    sql(EMBEDDED, "SELECT g.span_id, round(coalesce(max(CASE WHEN d = 0 THEN e END), 0), 6) + 0.0 AS e0, md5(array_to_string(list_transform(range(128), lambda k: CAST(coalesce(v[k], 0) AS BIGINT)), ',')) AS h FROM g LEFT JOIN ev USING (span_id) LEFT JOIN (SELECT span_id, map_from_entries(list((d, round(e * 10000)))) AS v FROM ev GROUP BY 1) USING (span_id) GROUP BY g.span_id, v"),
 )
 def span_embeddings(spark, sf_dir):
     e = all_embedded(spark, sf_dir).embeddings
-    return e.select("span_id", *[(F.round(F.element_at("embedding", d + 1), 6) + 0.0).alias(f"e{d}") for d in (0, 10, 100)])
+    whole = F.array_join(F.transform("embedding", lambda x: F.round(x * 10000).cast("bigint").cast("string")), ",")
+    return e.select("span_id", (F.round(F.element_at("embedding", 1), 6) + 0.0).alias("e0"), F.md5(whole).alias("h"))
 
 
 @query(
@@ -555,47 +556,47 @@ def tfidf_fuzzy_penalty(spark, sf_dir):
 _HYBRID = (
     EMBEDDED
     + ", "
-    + _scores({"the": 1, "hested": 1})
-    + """, qv AS (SELECT d, avg(v) AS m FROM tv WHERE token IN ('the', 'hested') GROUP BY 1),
+    + _scores({"the": 1, "of": 1})
+    + """, qv AS (SELECT d, avg(v) AS m FROM tv WHERE token IN ('the', 'of') GROUP BY 1),
 qn AS (SELECT d, m / (SELECT sqrt(sum(m * m)) FROM qv) AS q FROM qv),
 co AS (SELECT span_id, sum(e * q) AS sem FROM ev JOIN qn USING (d) GROUP BY 1),
 """
-    + f"hy AS (SELECT span_id, score AS lex, sem FROM sc JOIN ({_and(['the', 'hested'])}) USING (span_id, ord) JOIN co USING (span_id)), "
+    + f"hy AS (SELECT span_id, score AS lex, sem FROM sc JOIN ({_and(['the', 'of'])}) USING (span_id, ord) JOIN co USING (span_id)), "
     + "nm AS (SELECT span_id, lex, sem, CASE WHEN max(lex) OVER () = min(lex) OVER () THEN 1 ELSE (lex - min(lex) OVER ()) / (max(lex) OVER () - min(lex) OVER ()) END AS l, CASE WHEN max(sem) OVER () = min(sem) OVER () THEN 1 ELSE (sem - min(sem) OVER ()) / (max(sem) OVER () - min(sem) OVER ()) END AS s FROM hy)"
 )
 
 
 @query("search_hybrid", sql(_HYBRID, "SELECT span_id, round(0.7 * l + 0.3 * s, 4) + 0.0 AS score FROM nm"))
 def search_hybrid(spark, sf_dir):
-    return se.search(all_embedded(spark, sf_dir), "the hested", se.SearchOptions(rank="hybrid")).select("span_id", (F.round("score", 4) + 0.0).alias("score"))
+    return se.search(all_embedded(spark, sf_dir), "the of", se.SearchOptions(rank="hybrid")).select("span_id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query("hybrid_weights", sql(_HYBRID, "SELECT span_id, round(0.2 * l + 0.5 * s, 4) + 0.0 AS score FROM nm"))
 def hybrid_weights(spark, sf_dir):
     o = se.SearchOptions(rank="hybrid", hybrid=se.HybridOptions(0.2, 0.5))
-    return se.search(all_embedded(spark, sf_dir), "the hested", o).select("span_id", (F.round("score", 4) + 0.0).alias("score"))
+    return se.search(all_embedded(spark, sf_dir), "the of", o).select("span_id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query("hybrid_raw", sql(_HYBRID, "SELECT span_id, round(0.7 * lex + 0.3 * sem, 4) + 0.0 AS score FROM nm"))
 def hybrid_raw(spark, sf_dir):
     o = se.SearchOptions(rank="hybrid", hybrid=se.HybridOptions(normalize=False))
-    return se.search(all_embedded(spark, sf_dir), "the hested", o).select("span_id", (F.round("score", 4) + 0.0).alias("score"))
+    return se.search(all_embedded(spark, sf_dir), "the of", o).select("span_id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query("minmax_scores", "SELECT label, vec_id, round(CASE WHEN max(v) OVER w = min(v) OVER w THEN 1 ELSE (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) END, 6) + 0.0 AS score FROM (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings) WINDOW w AS (PARTITION BY label)")
 def minmax_scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.element_at("embedding", 1).cast("double").alias("v"))
-    return e.select("label", "vec_id", (F.round(se.minmax(F.col("v"), "label"), 6) + 0.0).alias("score"))
+    return se.minmax(e, ["v"], "label").select("label", "vec_id", (F.round("v", 6) + 0.0).alias("score"))
 
 
-_BATCH = """q AS (SELECT item_id, token, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM benchmark)) GROUP BY 1, 2),
+_BATCH = """q AS (SELECT item_id, token, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY 1, 2),
 b AS (SELECT item_id, span_id, ord, count(*) AS have, sum(k * (1 + ln(tf)) * ln(n / (1 + df))) / sqrt(max(doc_len)) AS score FROM q JOIN post USING (token) JOIN terms USING (token), st GROUP BY 1, 2, 3)"""
 
 
 @query("search_batch", sql(ALL + ", " + _BATCH, "SELECT item_id, span_id, round(score, 6) + 0.0 AS score FROM b JOIN (SELECT item_id, count(*) AS need FROM q GROUP BY 1) USING (item_id) WHERE have = need"))
 def search_batch(spark, sf_dir):
     i = all_index(spark, sf_dir)
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return se.batch_search(i, q, 1 << 30).select(F.col("query_id").alias("item_id"), "span_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
@@ -659,31 +660,31 @@ def expand_section(spark, sf_dir):
     return e.select("corpus_id", "span_id", "pack_id", F.size("paragraph_ids").alias("n"), F.array_join("section_path", " > ").alias("path"))
 
 
-def _section_contexts(i: ix.Index) -> DataFrame:
+def _section_packs(i: ix.Index) -> DataFrame:
     hits = i.spans.select("corpus_id", "span_id", "ord", F.length("text").cast("double").alias("score"))
-    return retrieve.expand_to_section(hits, i.paragraphs, i.sections)
+    return retrieve.section_packs(hits, i.paragraphs, i.sections)
 
 
 @query("merge_packs", sql(ASSIGNED, "SELECT corpus_id, 's:' || section_id AS pack_id, arg_max(span_id, struct_pack(s := length(text), o := -ord)) AS span_id, CAST(max(length(text)) AS DOUBLE) AS score FROM a GROUP BY 1, 2"))
 def merge_packs(spark, sf_dir):
-    return retrieve.merge(_section_contexts(books_index(spark, sf_dir))).select("corpus_id", "pack_id", "span_id", "score")
+    return _section_packs(books_index(spark, sf_dir)).select("corpus_id", "pack_id", "span_id", "score")
 
 
 @query("union_paragraphs", sql(ASSIGNED, "SELECT corpus_id, 's:' || section_id AS pack_id, array_to_string(ids, ',') AS ids FROM secs"))
 def union_paragraphs(spark, sf_dir):
-    return retrieve.merge(_section_contexts(books_index(spark, sf_dir))).select("corpus_id", "pack_id", F.array_join("paragraph_ids", ",").alias("ids"))
+    return _section_packs(books_index(spark, sf_dir)).select("corpus_id", "pack_id", F.array_join("paragraph_ids", ",").alias("ids"))
 
 
 @query("packs", sql(ASSIGNED, f"SELECT corpus_id, 's:' || section_id AS pack_id, count(*) AS span_count, CAST(sum({_U16}) + 2 * (count(*) - 1) AS BIGINT) AS char_count FROM a GROUP BY 1, 2"))
 def packs(spark, sf_dir):
     i = books_index(spark, sf_dir)
-    return retrieve.resolve(retrieve.merge(_section_contexts(i)), i.spans).select("corpus_id", "pack_id", "span_count", "char_count")
+    return retrieve.resolve(_section_packs(i), i.spans).select("corpus_id", "pack_id", "span_count", "char_count")
 
 
 @query("pack_text", sql(ASSIGNED, "SELECT corpus_id, 's:' || section_id AS pack_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord)) AS h FROM a GROUP BY 1, 2"))
 def pack_text(spark, sf_dir):
     i = books_index(spark, sf_dir)
-    return retrieve.resolve(retrieve.merge(_section_contexts(i)), i.spans).select("corpus_id", "pack_id", F.md5("text").alias("h"))
+    return retrieve.resolve(_section_packs(i), i.spans).select("corpus_id", "pack_id", F.md5("text").alias("h"))
 
 
 @query(
@@ -692,7 +693,7 @@ def pack_text(spark, sf_dir):
 )
 def budget_packs(spark, sf_dir):
     i = books_index(spark, sf_dir)
-    return retrieve.budget(retrieve.resolve(retrieve.merge(_section_contexts(i)), i.spans), 4, 3000).select("corpus_id", "pack_id", "rank")
+    return retrieve.budget(retrieve.resolve(_section_packs(i), i.spans), 4, 3000).select("corpus_id", "pack_id", "rank")
 
 
 # retrieval of one query in every book

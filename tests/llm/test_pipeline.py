@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstack.llm import bagminhash, decontam, lines, mixing, quality
+from quillstack.llm.common import written
 from quillstack.llm.queries import ORACLES, QUERIES
-from tests.llm.test_operators import brute_lines, brute_mix, near_groups, sw, tokens
+from tests.llm.test_operators import ODD, brute_lines, brute_mix, near_groups, sw, table, tokens, words
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="the tables are not here")
@@ -64,3 +67,23 @@ def test_run_matches_the_stages(spark):
     docs = bagminhash.drop_near_duplicates(lines.dedup_documents(docs))
     docs = mixing.select_documents(decontam.drop_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")))
     assert got == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing names, no rows at all."""
+    rng = random.Random(300)
+    good = [words(rng, 80) + "." for _ in range(12)]
+    docs = table(spark, [*good, good[0], *ODD, good[1], good[2]], [*range(12), 3, *range(100, 100 + len(ODD)), None, None])
+    docs = docs.union(docs.limit(2)).withColumn("source", F.when(F.col("doc_id") % 3 != 0, F.col("source")))
+    spark.createDataFrame([(0, 1, None), (None, 1, 1), (1, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, good[4]), (2, None), (None, good[5]), (3, "")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        kept = written(stage(spark, kept, str(tmp_path)))
+        rows = kept.collect()
+        assert kept.columns == docs.columns and rows and all(tokens(r.text) for r in rows), name
+        if name == "near_dedup":
+            assert {r.doc_id for r in rows} >= {*range(1, 12)} - {3} and sum(r.doc_id is None for r in rows) == 2
+        if name == "decontamination":
+            assert 4 not in {r.doc_id for r in rows} and 5 in {r.doc_id for r in rows}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
