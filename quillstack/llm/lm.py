@@ -6,7 +6,8 @@ frequent as the last; it grows with the corpus. Other words are predicted as an
 word and spelled by the corpus's byte pairs; read, they are told apart by a hash into as
 many inputs as there are words. Words fall into classes that hold equal shares of the
 square roots of the frequencies, and a word's probability is that of its class times that
-of the word within its class, both read from the state of a gated recurrent unit.
+of the word within its class, both read from the state of a gated recurrent unit, which
+reads a vector for each input.
 
 Training is data parallel. All documents, each once, are split by hash of doc_id
 into rounds and shards whose number grows with the corpus, as far as a shard has
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from quillstack.llm import textvec as tv
 from quillstack.llm.common import arrow_array, drop, mapped, prepare, written
 
-COVERAGE, VOCABULARY, HIDDEN = 0.6, 2048, 16
-ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 3, 1000, 4.0
+COVERAGE, VOCABULARY, HIDDEN = 0.9, 2048, 24
+ROUNDS, SHARD_DOCUMENTS, WORDS_A_PARAMETER = 3, 1000, 0.5
 STREAMS, WINDOW, STRETCH, RATE, CLIP = 256, 16, 1024, 0.08, 5.0
 #: Fewer streams are used where there would be fewer steps of training.
 LEAST_STEPS = 64
@@ -96,7 +97,7 @@ class Model:
     def __init__(self, edges: np.ndarray, inputs: int, hidden: int = HIDDEN, flat: np.ndarray | None = None):
         self.edges, self.inputs, self.hidden, self.size, self.classes = edges, inputs, hidden, int(edges[-1]), len(edges) - 1
         self.class_of = np.repeat(np.arange(self.classes, dtype=np.int16 if self.classes < 1 << 15 else np.int64), np.diff(edges))
-        shapes = {"x": (inputs, 3 * hidden), "r": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "u": (self.size, hidden), "ub": (self.size,)}
+        shapes = {"e": (inputs, hidden), "x": (hidden, 3 * hidden), "b": (3 * hidden,), "r": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "u": (self.size, hidden), "ub": (self.size,)}
         ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
         self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat
         for (name, shape), end in zip(shapes.items(), ends, strict=True):
@@ -109,7 +110,7 @@ class Model:
     def initial(counts: np.ndarray, inputs: int, hidden: int = HIDDEN) -> Model:
         """Small random weights; the biases are the logarithms of the frequencies."""
         m, rng = Model(class_edges(counts), inputs, hidden), np.random.default_rng(20)
-        for name, scale in (("x", 0.1), ("r", 0.2), ("c", 0.1), ("u", 0.1)):
+        for name, scale in (("e", 0.3), ("x", 0.2), ("r", 0.2), ("c", 0.1), ("u", 0.1)):
             a = getattr(m, name)
             a[...] = rng.normal(0, scale, a.shape)
         p = (counts + 0.5) / (counts + 0.5).sum()
@@ -121,7 +122,7 @@ class Model:
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state, gates z and r, candidate n and the state's part of it."""
         k = self.hidden
-        a, s = self.x[x], h @ self.r
+        a, s = self.e[x] @ self.x + self.b, h @ self.r
         g = a[:, : 2 * k] + s[:, : 2 * k]
         g *= np.float32(0.5)
         np.tanh(g, out=g)
@@ -304,25 +305,42 @@ def train(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, en
         sorted_ = where[order]
         at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
         words = sorted_[at]
-        grad.x[words] = np.add.reduceat(flat_in[order], at, axis=0)
+        grad.e[words] = np.add.reduceat((flat_in @ model.x.T)[order], at, axis=0)
+        grad.x += model.e[where].T @ flat_in
+        grad.b += flat_in.sum(0)
         grad.r += np.concatenate([s[0] for s in tape]).T @ d_state.reshape(-1, 3 * k)
-        every = slice(None)
-        descend(model, grad, memory, {"x": words, "r": every, "c": every, "cb": every, "u": every, "ub": every}, 32 / max(1, len(p)), rate)
+        descend(model, grad, memory, words, 32 / max(1, len(p)), rate)
     return total / max(1, seen)
 
 
-def descend(model: Model, grad: Model, memory: Model, rows: dict, scale: float, rate: float) -> None:
-    """One clipped step of Adagrad on the rows that have gradients, which are set to 0 again."""
-    parts = {name: getattr(grad, name)[at] * np.float32(scale) for name, at in rows.items()}
-    norm = float(np.sqrt(sum(np.vdot(g, g) for g in parts.values())))
-    for name, at in rows.items():
-        g = parts[name]
-        if norm > CLIP:
-            g *= np.float32(CLIP / norm)
-        seen = getattr(memory, name)[at] + g * g
-        getattr(memory, name)[at] = seen
-        getattr(model, name)[at] -= np.float32(rate) * g / np.sqrt(seen)
-        getattr(grad, name)[at] = 0
+#: Numbers that are brought up to date together, few enough to stay in a core's cache.
+CACHED = 1 << 14
+
+
+def descend(model: Model, grad: Model, memory: Model, words: np.ndarray, scale: float, rate: float) -> None:
+    """One clipped step of Adagrad on the rows words of the inputs' vectors and on all that follows these; the gradients are set to 0 again."""
+    n = model.e.size
+    rows = grad.e[words]
+    dense, seen, own = grad.flat[n:], memory.flat[n:], model.flat[n:]
+    norm = scale * float(np.sqrt(np.vdot(rows, rows) + np.vdot(dense, dense)))
+    scale, rate = np.float32(scale * min(1.0, CLIP / max(norm, CLIP))), np.float32(rate)
+    rows *= scale
+    m = memory.e[words] + rows * rows
+    memory.e[words] = m
+    model.e[words] -= rate * rows / np.sqrt(m)
+    grad.e[words] = 0
+    step, root = np.empty(CACHED, np.float32), np.empty(CACHED, np.float32)
+    for lo in range(0, len(dense), CACHED):
+        g, m, p = dense[lo : lo + CACHED], seen[lo : lo + CACHED], own[lo : lo + CACHED]
+        d, q = step[: len(g)], root[: len(g)]
+        np.multiply(g, scale, out=d)
+        np.multiply(d, d, out=q)
+        m += q
+        np.sqrt(m, out=q)
+        d /= q
+        d *= rate
+        p -= d
+        g.fill(0)
 
 
 def least_count(n: np.ndarray, words: np.ndarray, coverage: float, size: int) -> int:
