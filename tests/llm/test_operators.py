@@ -298,7 +298,7 @@ def test_decontamination_against_brute_force(spark, block_bytes):
         if k % 2:
             body.append(edited(rng, items[k % 12], (k % 5) * 0.1))
         docs.append("\n".join([*body, words(rng, 80, 2000)]))
-    docs += [*ODD, f"before {items[12]} after", docs[1]]
+    docs += [*ODD, f"before {items[12]} after {items[13]} more", docs[1]]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(table(spark, docs), bench, block_bytes=block_bytes).collect()}
     expected = {}
@@ -307,7 +307,7 @@ def test_decontamination_against_brute_force(spark, block_bytes):
             if tokens(x) and len(tokens(t)) < 500 and (s := sw(tokens(x), tokens(t))) >= decontam.THRESHOLD:
                 expected[d, i] = s
     near = lambda k: abs(expected.get(k, got.get(k)) - decontam.THRESHOLD) < 0.1
-    assert all(near(k) for k in set(got) ^ set(expected)) and len(expected) > 25 and (len(docs) - 2, 13) in got
+    assert all(near(k) for k in set(got) ^ set(expected)) and len(expected) > 25 and {(len(docs) - 2, 12), (len(docs) - 2, 13)} <= set(got)
     assert len(set(got) & set(expected)) >= 0.95 * len(expected)
     assert all(abs(got[k] - expected[k]) < 1e-5 for k in set(got) & set(expected))
     kept = {r.doc_id for r in decontam.drop_leaks(table(spark, docs), bench, block_bytes=block_bytes).collect()}
