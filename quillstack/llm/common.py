@@ -316,7 +316,8 @@ def clustered(rows: DataFrame, pairs: Pairs, one: One, keys: Keys, most_bytes: i
         up = written(clustered(reps, pairs, one, keys, most_bytes))
         labels = written(labels.join(up.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("comp", "id", F.coalesce("top", "root").alias("root")))
         mine = table.join(few, "comp", "left_semi").join(labels.select("id", "root"), "id")
-    held = labels.join(few, "comp", "left_semi").groupBy("comp", "root").agg(F.count("*").alias("n"))
+    mine = written(mine.select("comp", "id", "root", "data"))  # every pass reads it
+    held = mine.groupBy("comp", "root").agg(F.count("*").alias("n"))
     main = held.groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     others = written(mine.join(main, "comp").filter("root <> main").select("comp", "id", "root", "data"))
     total = others.agg(F.sum(weight)).first()[0] or 0
@@ -325,8 +326,9 @@ def clustered(rows: DataFrame, pairs: Pairs, one: One, keys: Keys, most_bytes: i
     for wave in range(waves):
         some = others.filter(F.pmod(F.xxhash64("id", F.lit("wave")), F.lit(waves)) == wave).toArrow().sort_by([("comp", "ascending"), ("id", "ascending")])
         if some.num_rows:
-            edges = edges.union(written(mapped(mine.select("comp", "id", "root", "data"), _across(spark.sparkContext.broadcast(some), pairs, keys), EDGE)))
+            edges = edges.union(written(mapped(mine, _across(spark.sparkContext.broadcast(_indexed(some, keys)), pairs, keys), EDGE)))
     top = written(connected_components(edges))
+    drop(mine)
     return labels.join(top.select(F.col("id").alias("root"), F.col("comp").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")).filter("id <> root")
 
 
@@ -334,17 +336,21 @@ def clustered(rows: DataFrame, pairs: Pairs, one: One, keys: Keys, most_bytes: i
 PAIRS_AT_ONCE = 1 << 18
 
 
+def _indexed(some: pa.Table, keys: Keys) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows (comp, id, root, data), the keys of all with their groups, sorted, and the row that each is of: made once, not by every task."""
+    owner, key = keys(*binary_items(some.column("data")))
+    key = mix(key ^ mix(some.column("comp").to_numpy()[owner].view(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    return some, key[order], owner[order].astype(np.int32)
+
+
 def _across(sent, pairs: Pairs, keys: Keys) -> Run:
     """For mapInArrow over (comp, id, root, data): edges between the classes of rows and of linked rows that were sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = sent.value
+        there, key, owner = sent.value
         comp, root = there.column("comp").to_numpy(), there.column("root").to_numpy()
         value, off = binary_items(there.column("data"))
-        owner, key = keys(value, off)
-        key = mix(key ^ mix(comp[owner].view(np.uint64)))
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def top(x: np.ndarray) -> np.ndarray:
