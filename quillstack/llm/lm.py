@@ -45,6 +45,8 @@ SCORE_STREAMS, SCORE_WORDS = 512, 1 << 21
 BLOCKS = 64
 #: exp() of it fits float32 many times over; no trained logit comes near it.
 MOST_LOGIT = np.float32(60)
+#: Of the gates z and r half is taken: a sigmoid is half a hyperbolic tangent of half.
+HALF = np.array([0.5, 0.5, 1], np.float32)[:, None]
 
 
 class Vocabulary(NamedTuple):
@@ -92,16 +94,18 @@ def class_edges(counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Parameters in one flat float32 vector, seen as named arrays. size words are predicted, inputs symbols read."""
+    """Parameters in one flat float32 vector, seen as named arrays. size words are predicted, inputs symbols read.
+    Biases of outputs lie beside their weights (cc, uu), so that one product gives both or the gradients of both."""
 
     def __init__(self, edges: np.ndarray, inputs: int, hidden: int = HIDDEN, flat: np.ndarray | None = None):
         self.edges, self.inputs, self.hidden, self.size, self.classes = edges, inputs, hidden, int(edges[-1]), len(edges) - 1
         self.class_of = np.repeat(np.arange(self.classes, dtype=np.int16 if self.classes < 1 << 15 else np.int64), np.diff(edges))
-        shapes = {"e": (inputs, hidden), "x": (hidden, 3 * hidden), "b": (3 * hidden,), "r": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "u": (self.size, hidden), "ub": (self.size,)}
+        shapes = {"e": (inputs, hidden), "x": (3, hidden, hidden), "b": (3, hidden), "r": (3, hidden, hidden), "cc": (hidden + 1, self.classes), "uu": (self.size, hidden + 1)}
         ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
         self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat
         for (name, shape), end in zip(shapes.items(), ends, strict=True):
             setattr(self, name, self.flat[end - int(np.prod(shape)) : end].reshape(shape))
+        self.c, self.cb, self.u, self.ub = self.cc[:hidden], self.cc[hidden], self.uu[:, :hidden], self.uu[:, hidden]
 
     def like(self, flat: np.ndarray) -> Model:
         return Model(self.edges, self.inputs, self.hidden, flat)
@@ -119,60 +123,79 @@ class Model:
         m.ub[...] = np.log(p / mass[m.class_of])
         return m
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state, gates z and r, candidate n and the state's part of it."""
-        k = self.hidden
-        a, s = self.e[x] @ self.x + self.b, h @ self.r
-        g = a[:, : 2 * k] + s[:, : 2 * k]
-        g *= np.float32(0.5)
+    def inward(self, read: np.ndarray) -> np.ndarray:
+        """What the inputs' vectors add to each gate, that of z and r halved."""
+        a = read @ (self.x * HALF[:, None])
+        a += (self.b * HALF)[:, None]
+        return a
+
+    @staticmethod
+    def onward(h: np.ndarray, a: np.ndarray, r_half: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New state, gates z and r, candidate n and the state's part of it, from inward() and r with z's and r's half."""
+        s = h @ r_half
+        g = a[:2] + s[:2]
         np.tanh(g, out=g)
         g *= np.float32(0.5)
         g += np.float32(0.5)
-        z, r = g[:, :k], g[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * s[:, 2 * k :])
-        return n + z * (h - n), z, r, n, s[:, 2 * k :]
+        z, r = g
+        n = r * s[2]
+        n += a[2]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, s[2]
 
-    def output(self, h: np.ndarray, y: np.ndarray, grad: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probabilities of targets y; with grad, adds the gradients and returns that of h."""
+    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        return self.onward(h, self.inward(self.e[x]), self.r * HALF[:, None])
+
+    def output(self, h: np.ndarray, y: np.ndarray, grad: Model | None = None, most: np.float32 | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-probabilities of targets y; with grad, sets the gradients of the outputs that are met there and returns that of h.
+        No logit counts as more than MOST_LOGIT: the few calls in which one does are done again with that as most."""
+        k, kind = self.hidden, self.flat.dtype
         order = np.argsort(self.class_of[y], kind="stable")
-        h, y = h[order], y[order]
-        cls = self.class_of[y]
-        rows = np.arange(len(y))
-        e = h @ self.c
-        e += self.cb
-        np.exp(np.minimum(e, MOST_LOGIT, out=e), out=e)
-        total = e.sum(1)
-        share = e[rows, cls] / total
-        dh = None
-        if grad is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grad.c += h.T @ e
-            grad.cb += e.sum(0)
-            dh = e @ self.c.T
-        at = np.searchsorted(cls, np.arange(self.classes + 1))
-        for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.edges) > 1)):
-            s, t, low, high = at[k], at[k + 1], self.edges[k], self.edges[k + 1]
-            hk = h[s:t]
-            e = hk @ self.u[low:high].T
-            e += self.ub[low:high]
-            np.exp(np.minimum(e, MOST_LOGIT, out=e), out=e)
-            total = e.sum(1)
-            word = y[s:t] - low
-            share[s:t] *= e[rows[: t - s], word] / total
-            if grad is not None:
-                e /= total[:, None]
-                e[rows[: t - s], word] -= 1
-                grad.u[low:high] += e.T @ hk
-                grad.ub[low:high] += e.sum(0)
-                dh[s:t] += e @ self.u[low:high]
+        h1 = np.ones((len(y), k + 1), kind)
+        h1[:, :k] = h[order]
+        cls, word = self.class_of[y[order]], y[order]
+        word -= self.edges[cls].astype(word.dtype)
+        rows, ones = np.arange(len(y)), np.ones(max(self.classes, int(np.diff(self.edges).max(initial=1))), kind)
+        own, total, back = np.ones(len(y), kind), np.ones(len(y), kind), np.zeros((len(y) if grad else 0, k + 1), kind)
+
+        def powers(e: np.ndarray) -> np.ndarray:
+            return np.exp(e if most is None else np.minimum(e, most, out=e), out=e)
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            e = powers(h1 @ self.cc)
+            all_classes = e @ ones[: self.classes]
+            share = e[rows, cls] / all_classes
+            if grad:
+                e[rows, cls] -= all_classes
+                dh = e @ self.c.T
+                dh /= all_classes[:, None]
+                np.matmul((h1 / all_classes[:, None]).T, e, out=grad.cc)
+            at = np.searchsorted(cls, np.arange(self.classes + 1))
+            for c in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.edges) > 1)).tolist():
+                s, t, low, high = at[c], at[c + 1], self.edges[c], self.edges[c + 1]
+                hc, u, its = h1[s:t], self.uu[low:high], (rows[: t - s], word[s:t])
+                e = powers(hc @ u.T)
+                sums = np.matmul(e, ones[: high - low], out=total[s:t])
+                own[s:t] = mine = e[its]
+                if grad:
+                    e[its] = mine - sums
+                    np.matmul(e.T, hc / sums[:, None], out=grad.uu[low:high])
+                    np.matmul(e, u, out=back[s:t])
+        if most is None and not max(all_classes.max(initial=0), total.max(initial=0)) < np.exp(MOST_LOGIT):
+            return self.output(h, y, grad, MOST_LOGIT)
+        share *= own / total
         out = np.empty(len(y))
         out[order] = np.log(np.maximum(share, 1e-37))
-        if dh is not None:
-            back = np.empty_like(dh)
-            back[order] = dh
-            dh = back
-        return out, dh
+        if not grad:
+            return out, None
+        back /= total[:, None]
+        dh += back[:, :k]
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
 
 def streams(size: np.ndarray, n_streams: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -234,17 +257,17 @@ def score_documents(model: Model, read: np.ndarray, ids: np.ndarray, first: np.n
     if not n:
         return out
     x, y, doc, fresh, width = laid_out(read, ids, first, model, end, SCORE_STREAMS)
-    h = np.zeros((x.shape[1], model.hidden), np.float32)
+    h, r_half = np.zeros((x.shape[1], model.hidden), model.flat.dtype), model.r * HALF[:, None]
     lo = 0
     while lo < len(x):
         b = int(width[lo])
         h = h[:b]
         hi = min(len(x), lo + max(1, (1 << 14) // b))
-        states = np.empty((hi - lo, b, model.hidden), np.float32)
+        states = np.empty((hi - lo, b, model.hidden), h.dtype)
+        a = model.inward(model.e[x[lo:hi, :b].ravel()]).reshape(3, hi - lo, b, -1)
         for t in range(lo, hi):
             h[fresh[t, :b]] = 0
-            h = model.step(h, x[t, :b])[0]
-            states[t - lo] = h
+            h = states[t - lo] = model.onward(h, a[:, t - lo], r_half)[0]
         own = doc[lo:hi, :b].ravel()
         live = np.flatnonzero(own >= 0)
         p, _ = model.output(states.reshape(-1, model.hidden)[live], y[lo:hi, :b].ravel()[live])
@@ -257,25 +280,27 @@ def train(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, en
     """One pass of truncated backpropagation with Adagrad; returns the mean log-probability on the way."""
     n_streams = max(1, min(STREAMS, len(ids) // (WINDOW * LEAST_STEPS)))
     x, y, doc, fresh, width = laid_out(read, ids, first, model, end, n_streams, STRETCH)
-    k = model.hidden
-    h = np.zeros((x.shape[1], k), np.float32)
+    k, some = model.hidden, model.flat.dtype
+    h = np.zeros((x.shape[1], k), some)
     grad, memory = model.like(np.zeros_like(model.flat)), model.like(np.full(len(model.flat), 0.05, np.float32))
     total, seen = 0.0, 0
     for lo in range(0, len(x), WINDOW):
         hi, b = min(len(x), lo + WINDOW), int(width[lo])
-        h = h[:b]
-        tape = []
-        for t in range(lo, hi):
-            start = np.flatnonzero(fresh[t, :b])
-            if len(start):
-                h = h.copy()
-                h[start] = 0
-            new, z, r, n, s = model.step(h, x[t, :b])
-            tape.append((h, z, r, n, s, start))
-            h = new
-            tape[-1] = (*tape[-1], new)
+        h, r_half = h[:b], model.r * HALF[:, None]
+        where, shape = x[lo:hi, :b].ravel(), (hi - lo, b, k)
+        read = model.e[where]
+        a = model.inward(read).reshape(3, *shape)
+        before, z, r, n, s, states = (np.empty(shape, some) for _ in range(6))
+        starts = []
+        for t in range(hi - lo):
+            start = np.flatnonzero(fresh[lo + t, :b])
+            before[t] = h
+            before[t, start] = 0
+            starts.append(start)
+            h, z[t], r[t], n[t], s[t] = model.onward(before[t], a[:, t], r_half)
+            states[t] = h
+        states, target = states.reshape(-1, k), y[lo:hi, :b].ravel()
         live = np.flatnonzero(doc[lo:hi, :b].ravel() >= 0)
-        states, target = np.concatenate([s[-1] for s in tape]), y[lo:hi, :b].ravel()
         if len(live) == len(target):
             p, d_out = model.output(states, target, grad)
         else:
@@ -283,32 +308,36 @@ def train(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, en
             d_out = np.zeros_like(states)
             d_out[live] = dh
         total, seen = total + p.sum(), seen + len(p)
-        d_out = d_out.reshape(hi - lo, b, k)
-        carry = np.zeros((b, k), np.float32)
-        d_in = np.empty((hi - lo, b, 3 * k), np.float32)
-        d_state = np.empty((hi - lo, b, 3 * k), np.float32)
+        d_out = d_out.reshape(shape)
+        carry = np.zeros((b, k), some)
+        d_in, d_state = np.empty((3, *shape), some), np.empty((3, *shape), some)
+        by_n, by_z, by_r, back = 1 - n * n, (before - n) * (1 - z), s * r * (1 - r), model.r.transpose(0, 2, 1)
         for t in range(hi - lo - 1, -1, -1):
-            before, z, r, n, s, start, _ = tape[t]
-            d = d_out[t] + carry
-            dz = d * z
-            dn = (d - dz) * (1 - n * n)
-            d_in[t, :, :k] = dz * (before - n) * (1 - z)
-            d_in[t, :, k : 2 * k] = dn * s * r * (1 - r)
-            d_in[t, :, 2 * k :] = dn
-            d_state[t] = d_in[t]
-            d_state[t, :, 2 * k :] *= r
-            carry = dz + d_state[t] @ model.r.T
-            carry[start] = 0
-        flat_in = d_in.reshape(-1, 3 * k)
-        where = x[lo:hi, :b].ravel()
+            carry += d_out[t]
+            dz = carry * z[t]
+            carry -= dz
+            dn = np.multiply(carry, by_n[t], out=d_in[2, t])
+            np.multiply(dz, by_z[t], out=d_in[0, t])
+            np.multiply(dn, by_r[t], out=d_in[1, t])
+            d_state[:2, t] = d_in[:2, t]
+            np.multiply(dn, r[t], out=d_state[2, t])
+            more = d_state[:, t] @ back
+            carry = dz
+            for m in more:
+                carry += m
+            carry[starts[t]] = 0
+        d_in, d_state = d_in.reshape(3, -1, k), d_state.reshape(3, -1, k)
         order = np.argsort(where, kind="stable")
         sorted_ = where[order]
         at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
         words = sorted_[at]
-        grad.e[words] = np.add.reduceat((flat_in @ model.x.T)[order], at, axis=0)
-        grad.x += model.e[where].T @ flat_in
-        grad.b += flat_in.sum(0)
-        grad.r += np.concatenate([s[0] for s in tape]).T @ d_state.reshape(-1, 3 * k)
+        d_read = d_in @ model.x.transpose(0, 2, 1)
+        d_read[0] += d_read[1]
+        d_read[0] += d_read[2]
+        grad.e[words] = np.add.reduceat(d_read[0][order], at, axis=0)
+        np.matmul(read.T, d_in, out=grad.x)
+        d_in.sum(1, out=grad.b)
+        np.matmul(before.reshape(-1, k).T, d_state, out=grad.r)
         descend(model, grad, memory, words, 32 / max(1, len(p)), rate)
     return total / max(1, seen)
 

@@ -149,6 +149,57 @@ def test_lm_gradients():
             array[i] = keep
 
 
+def plain_output(m, h, y):
+    """Model.output() with its gradients, step by step: logits, biases, powers, shares, derivatives."""
+    order = np.argsort(m.class_of[y], kind="stable")
+    h, y = h[order], y[order]
+    cls, grad, share, back = m.class_of[y], m.like(np.zeros_like(m.flat)), np.empty(len(y)), np.zeros_like(h)
+    at = np.searchsorted(cls, np.arange(m.classes + 1))
+    for c in range(-1, m.classes):
+        s, t, low, high = (0, len(y), 0, m.classes) if c < 0 else (at[c], at[c + 1], m.edges[c], m.edges[c + 1])
+        if s < t and (c < 0 or high - low > 1):
+            w, b, g, gb = (m.c.T, m.cb, grad.c.T, grad.cb) if c < 0 else (m.u[low:high], m.ub[low:high], grad.u[low:high], grad.ub[low:high])
+            e = h[s:t] @ w.T
+            e += b
+            np.exp(np.minimum(e, lm.MOST_LOGIT, out=e), out=e)
+            total = e.sum(1)
+            it = np.arange(t - s), cls[s:t] if c < 0 else y[s:t] - low
+            share[s:t] = e[it] / total if c < 0 else share[s:t] * e[it] / total
+            e /= total[:, None]
+            e[it] -= 1
+            g += e.T @ h[s:t]
+            gb += e.sum(0)
+            back[s:t] += e @ w
+    log_share, dh = np.empty(len(y)), np.empty_like(h)
+    log_share[order], dh[order] = np.log(np.maximum(share, 1e-37)), back
+    return log_share, dh, grad
+
+
+def test_lm_output_against_plain_steps():
+    """The same results, logits beyond the limit included, for clearly less CPU."""
+    rng = np.random.default_rng(41)
+    counts = 1e6 / np.arange(1, 20_001)
+    model = lm.Model.initial(counts, 10)
+    h, y = rng.uniform(-1, 1, (4096, lm.HIDDEN)).astype(np.float32), rng.choice(20_000, 4096, p=counts / counts.sum()).astype(np.int32)
+    for far in (0, 70, 95):
+        model.cb[3] += far
+        model.ub[model.edges[20]] += far
+        grad = model.like(np.zeros_like(model.flat))
+        got, dh = model.output(h, y, grad)
+        expected, back, by_steps = plain_output(model, h, y)
+        assert np.allclose(got, expected, atol=1e-4) and np.allclose(model.output(h, y)[0], got)
+        assert np.allclose(dh, back, atol=1e-4) and all(np.allclose(getattr(grad, x), getattr(by_steps, x), atol=2e-3) for x in ("c", "cb", "u", "ub"))
+        model.cb[3] -= far
+        model.ub[model.edges[20]] -= far
+    took = [[], []]
+    for _ in range(15):
+        for some, f in zip(took, (lambda: model.output(h, y, grad), lambda: plain_output(model, h, y)), strict=True):
+            began = time.process_time()
+            f()
+            some.append(time.process_time() - began)
+    assert min(took[0]) < 0.85 * min(took[1])
+
+
 def test_lm_recurrent_gradients(monkeypatch):
     """The step that one window takes, against numeric derivatives of its loss through time."""
     rng = np.random.default_rng(40)
