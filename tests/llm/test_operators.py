@@ -855,6 +855,50 @@ def test_long_lines_are_compared_exactly():
     assert got.tolist() == expected and 6 < sum(expected) < 18
 
 
+def test_sketches_of_lines_of_any_length():
+    """Pairs with as many edits as are allowed agree, also across the bounds of lengths; lines that repeat a few other words don't."""
+    rng = random.Random(82)
+
+    def sketches(rows):
+        w = tv.words(pa.array([" ".join(r) for r in rows]))
+        return lines.sketched(w, w.first, np.arange(len(rows))).view(np.int64)
+
+    for n in (12, 60, 159, 165, 199, 220, 249, 251, 262, 300, 498, 530, 1010, 4000):
+        a, b = [], []
+        for few in [8, 1, 100_000] * 10:
+            row = [f"w{rng.randrange(few)}" for _ in range(n)]
+            edited, most = list(row), n // 10
+            for i in rng.sample(range(n), most):
+                edited[i] = f"x{rng.randrange(few)}"
+            gone = set(rng.sample(range(n), most))
+            shorter = [x for i, x in enumerate(row) if i not in gone]
+            a += [row, row, ["lead", *["de"] * (n - 1)]]
+            b += [edited, shorter, ["other", *["de"] * (n - 1)]]
+        a, b = sketches(a), sketches(b)
+        assert lines.sketches_agree(a, b).all() and lines.few_differ(a[:, 0], b[:, 0]).all(), n
+        if n >= 60:
+            x = sketches([[f"{k}v{i % 7}" if i % 8 else "same" for i in range(n)] for k in range(200)])
+            assert lines.sketches_agree(x[:100], x[100:]).mean() < 0.1, n
+
+
+def test_wide_sketches_lose_no_pair(monkeypatch):
+    rng = np.random.default_rng(83)
+    rows = [rng.integers(0, [9, 10**6][k % 2], 100 + k % 5) for k in range(60)]
+    for row in rows[:40]:
+        rows.append(np.where(np.arange(len(row)) % 10 == 3, -1 - rng.integers(0, 9, len(row)), row))
+    flat, off = np.concatenate(rows).astype(np.int64), np.append(0, np.cumsum([len(r) for r in rows]))
+    flat = tv.mix(flat.view(np.uint64)).view(np.int64)
+    near, compared = lines.Near(0.9), []
+    plain = lines.alike_one
+    monkeypatch.setattr(lines, "alike_one", lambda v, o, i, others, s: compared.append(len(others)) or plain(v, o, i, others, s))
+    found = 0
+    for i in range(len(rows)):
+        got = near(flat, off, i, np.arange(len(rows)))
+        assert (got == plain(flat, off, i, np.arange(len(rows)), 0.9)).all()
+        found += got.sum()
+    assert found > 140 and sum(compared) < 0.3 * len(rows) ** 2
+
+
 def test_majority_bits():
     rng = np.random.default_rng(17)
     n = np.array([1, 2, 3, 7, 20, 64, 1])
