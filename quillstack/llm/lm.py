@@ -45,6 +45,8 @@ SCORE_STREAMS, SCORE_WORDS = 512, 1 << 21
 BLOCKS = 64
 #: exp() of it fits float32 many times over; no trained logit comes near it.
 MOST_LOGIT = np.float32(60)
+#: Powers of classes that are computed together, few enough to stay in a core's cache.
+OUTPUTS = 1 << 17
 #: Of the gates z and r half is taken: a sigmoid is half a hyperbolic tangent of half.
 HALF = np.array([0.5, 0.5, 1], np.float32)[:, None]
 
@@ -156,34 +158,50 @@ class Model:
         order = np.argsort(self.class_of[y], kind="stable")
         h1 = np.ones((len(y), k + 1), kind)
         h1[:, :k] = h[order]
-        cls, word = self.class_of[y[order]], y[order]
-        word -= self.edges[cls].astype(word.dtype)
-        rows, ones = np.arange(len(y)), np.ones(max(self.classes, int(np.diff(self.edges).max(initial=1))), kind)
-        own, total, back = np.ones(len(y), kind), np.ones(len(y), kind), np.zeros((len(y) if grad else 0, k + 1), kind)
+        cls, word, sizes = self.class_of[y[order]], y[order], np.diff(self.edges)
+        at = np.searchsorted(cls, np.arange(self.classes + 1))
+        met = np.diff(at)
+        # a class's powers are kept by (word, row), so that products with the few rows of a large class are fast ones
+        place = (word - self.edges[cls]) * met[cls] + np.arange(len(y)) - at[cls]
+        rows, ones = np.arange(len(y)), np.ones(max(self.classes, int(sizes.max(initial=1))), kind)
+        own, total, all_classes, share = np.ones(len(y), kind), np.ones(len(y), kind), np.empty(len(y), kind), np.empty(len(y), kind)
+        back, dh = np.zeros((len(y) if grad else 0, k + 1), kind), np.empty((len(y) if grad else 0, k), kind)
+        if grad:
+            grad.cc.fill(0)
+            for c in np.flatnonzero((met == 0) | (sizes == 1)).tolist():
+                grad.uu[self.edges[c] : self.edges[c + 1]] = 0
 
         def powers(e: np.ndarray) -> np.ndarray:
             return np.exp(e if most is None else np.minimum(e, most, out=e), out=e)
 
         with np.errstate(over="ignore", invalid="ignore"):
-            e = powers(h1 @ self.cc)
-            all_classes = e @ ones[: self.classes]
-            share = e[rows, cls] / all_classes
+            tile = max(1, OUTPUTS // self.classes)
+            powers_of_classes = np.empty((min(tile, len(y)), self.classes), kind)
+            for lo in range(0, len(y), tile):
+                some = slice(lo, min(len(y), lo + tile))
+                h_some, its = h1[some], (rows[: some.stop - lo], cls[some])
+                e = powers(np.matmul(h_some, self.cc, out=powers_of_classes[: some.stop - lo]))
+                sums = np.matmul(e, ones[: self.classes], out=all_classes[some])
+                share[some] = mine = e[its]
+                if grad:
+                    e[its] = mine - sums
+                    np.matmul(e, self.c.T, out=dh[some])
+                    grad.cc += (h_some / sums[:, None]).T @ e
+            share /= all_classes
             if grad:
-                e[rows, cls] -= all_classes
-                dh = e @ self.c.T
                 dh /= all_classes[:, None]
-                np.matmul((h1 / all_classes[:, None]).T, e, out=grad.cc)
-            at = np.searchsorted(cls, np.arange(self.classes + 1))
-            for c in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.edges) > 1)).tolist():
-                s, t, low, high = at[c], at[c + 1], self.edges[c], self.edges[c + 1]
-                hc, u, its = h1[s:t], self.uu[low:high], (rows[: t - s], word[s:t])
-                e = powers(hc @ u.T)
-                sums = np.matmul(e, ones[: high - low], out=total[s:t])
-                own[s:t] = mine = e[its]
+            bounds, edges = at.tolist(), self.edges.tolist()
+            for c in np.flatnonzero((met > 0) & (sizes > 1)).tolist():
+                s, t, low, high = bounds[c], bounds[c + 1], edges[c], edges[c + 1]
+                hc, u, its = h1[s:t], self.uu[low:high], place[s:t]
+                e = powers(u @ hc.T)
+                sums = np.matmul(ones[: high - low], e, out=total[s:t])
+                flat = e.reshape(-1)
+                own[s:t] = mine = flat[its]
                 if grad:
-                    e[its] = mine - sums
-                    np.matmul(e.T, hc / sums[:, None], out=grad.uu[low:high])
-                    np.matmul(e, u, out=back[s:t])
+                    flat[its] = mine - sums
+                    np.matmul(e, hc / sums[:, None], out=grad.uu[low:high])
+                    np.matmul(e.T, u, out=back[s:t])
         if most is None and not max(all_classes.max(initial=0), total.max(initial=0)) < np.exp(MOST_LOGIT):
             return self.output(h, y, grad, MOST_LOGIT)
         share *= own / total
@@ -343,11 +361,11 @@ def train(model: Model, read: np.ndarray, ids: np.ndarray, first: np.ndarray, en
 
 
 #: Numbers that are brought up to date together, few enough to stay in a core's cache.
-CACHED = 1 << 14
+CACHED = 1 << 15
 
 
 def descend(model: Model, grad: Model, memory: Model, words: np.ndarray, scale: float, rate: float) -> None:
-    """One clipped step of Adagrad on the rows words of the inputs' vectors and on all that follows these; the gradients are set to 0 again."""
+    """One clipped step of Adagrad on the rows words of the inputs' vectors, whose gradients are set to 0 again, and on all that follows these."""
     n = model.e.size
     rows = grad.e[words]
     dense, seen, own = grad.flat[n:], memory.flat[n:], model.flat[n:]
@@ -358,18 +376,17 @@ def descend(model: Model, grad: Model, memory: Model, words: np.ndarray, scale:
     memory.e[words] = m
     model.e[words] -= rate * rows / np.sqrt(m)
     grad.e[words] = 0
-    step, root = np.empty(CACHED, np.float32), np.empty(CACHED, np.float32)
+    root = np.empty(CACHED, np.float32)
+    squared, step = scale * scale, scale * rate
     for lo in range(0, len(dense), CACHED):
         g, m, p = dense[lo : lo + CACHED], seen[lo : lo + CACHED], own[lo : lo + CACHED]
-        d, q = step[: len(g)], root[: len(g)]
-        np.multiply(g, scale, out=d)
-        np.multiply(d, d, out=q)
+        q = np.multiply(g, g, out=root[: len(g)])
+        q *= squared
         m += q
         np.sqrt(m, out=q)
-        d /= q
-        d *= rate
-        p -= d
-        g.fill(0)
+        np.divide(g, q, out=q)
+        q *= step
+        p -= q
 
 
 def least_count(n: np.ndarray, words: np.ndarray, coverage: float, size: int) -> int:

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -200,6 +201,23 @@ def test_lm_output_against_plain_steps():
     assert min(took[0]) < 0.85 * min(took[1])
 
 
+def test_lm_output_in_tiles():
+    """The classes' powers of many rows aren't held at once, and every gradient of the outputs is set, of words that no row meets too."""
+    rng = np.random.default_rng(42)
+    model = lm.Model.initial(np.ones(20_000), 10)
+    h, y = rng.uniform(-1, 1, (1 << 15, lm.HIDDEN)).astype(np.float32), rng.integers(0, 500, 1 << 15).astype(np.int32)
+    grad = model.like(np.full_like(model.flat, 7))
+    got, dh = model.output(h, y, grad)
+    expected, back, by_steps = plain_output(model, h, y)
+    assert np.allclose(got, expected, atol=1e-4) and np.allclose(dh, back, atol=1e-4)
+    assert np.allclose(grad.cc, by_steps.cc, atol=2e-2) and np.allclose(grad.uu, by_steps.uu, atol=2e-2)
+    tracemalloc.start()
+    model.output(h, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(y) * model.classes * 4
+
+
 def test_lm_recurrent_gradients(monkeypatch):
     """The step that one window takes, against numeric derivatives of its loss through time."""
     rng = np.random.default_rng(40)
