@@ -76,7 +76,7 @@ def test_heading_levels_of_odd_paragraphs(spark):
 
 
 def test_sections_need_no_postings(spark, monkeypatch):
-    def refuse(df):
+    def refuse(df, *codec):
         assert "tf" not in df.columns, "postings were written"
         return df
 
